@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ioloom.functions.counters import DERIVED, DIMENSIONS, MODULE_OF, TOP4, of_rule, rule_of, top4_columns
 from ioloom.operators import features, rules
 from ioloom.operators.records import aggregate_records
 from ioloom.plans import sql
+from ioloom.plans.core import ORACLES, QUERIES, r6, register, rounded
 from ioloom.sources import surrogate
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return keep
-
-
-def rounded(*columns: str):
-    return [r6(F.col(c)).alias(c) for c in columns]
-
-
-def r6(c: Column) -> Column:
-    """Rounding to 6 places that engines agree on."""
-    return F.floor(c.cast("double") * 1000000.0 + 0.5) / 1000000.0
-
-
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.assemble(aggregate_records(surrogate.records(spark, sf_dir)), surrogate.jobs(spark, sf_dir))
 
@@ -126,3 +101,8 @@ def label_rates(spark, sf_dir):
 
 
 assert all(rule_of(c) != "top4" or c in _PLACES for c in MODULE_OF)
+
+# The other query modules register theirs on import.
+from ioloom.plans import metric_queries  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -72,3 +72,29 @@ def records(spark: SparkSession, sf_dir: str, counters: list[str] | None = None)
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per job header: jobid, uid, nprocs, start_time, runtime, benchmark, scenario."""
     return spark.sql(jobs_sql("{orders}", spark=True), orders=_table(spark, sf_dir, "orders"))
+
+
+#: Seven dimensions of ground truth and prediction, a probability for each, a benchmark and two systems.
+PREDICTION_DIMS = ["access_granularity", "metadata_intensity", "parallelism_efficiency", "access_pattern", "interface_choice", "file_strategy", "throughput_utilization"]
+
+
+def predictions_sql(orders: str = "orders") -> str:
+    columns = []
+    for i, d in enumerate(PREDICTION_DIMS):
+        gt = f"(o_orderkey * {3 + i} + o_custkey) % {5 + i} < 2"
+        columns += [f"CAST({gt} AS INT) AS gt_{d}", f"CAST(({gt} AND o_custkey % {4 + i} <> 0) OR o_orderkey % {11 + i} = 0 AS INT) AS pred_{d}", f"((o_orderkey * 37 + o_custkey * {7 + i} + CAST({gt} AS INT) * 300) % 1000) / 1000.0 AS prob_{d}"]
+    return f"SELECT o_orderkey AS job_id, o_orderpriority AS benchmark, o_orderstatus AS scenario, {', '.join(columns)} FROM {orders}"
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, benchmark, scenario and gt_, pred_, prob_ of each of the seven dimensions."""
+    return spark.sql(predictions_sql("{orders}"), orders=_table(spark, sf_dir, "orders"))
+
+
+RUNS_SQL = """SELECT o_orderpriority AS workload, o_orderstatus AS model, o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus, o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS iteration,
+o_orderkey % 13 / 4.0 AS speedup, o_custkey % 5 <> 0 AS executed, CAST(floor(o_totalprice) AS BIGINT) % 7 = 0 AS rollback, CAST(o_orderkey % 3 AS BIGINT) AS open_dims, CAST(floor(o_totalprice) AS BIGINT) % 1000 / 8.0 AS bandwidth, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS tokens FROM {orders}"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterations of optimization runs: workload, model, run_id, iteration, speedup, executed, rollback, open_dims, bandwidth, tokens."""
+    return spark.sql(RUNS_SQL, orders=_table(spark, sf_dir, "orders"))
