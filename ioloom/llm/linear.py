@@ -21,34 +21,46 @@ def _featurised(batches):
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), batch.column(1)], names=["places", "v", "mark"])
 
 
+#: Features handled at once when a sample is scored or summed.
+BLOCK = 1 << 19
+
+
 class Sample:
-    """Rows of (places, values) and a mark each, as one compressed matrix."""
+    """Rows of (places, values) and a mark each, as one compressed matrix. Every row has features."""
+
+    def __init__(self, places: np.ndarray, v: np.ndarray, counts: np.ndarray, mark: np.ndarray):
+        self.places, self.v, self.counts, self.mark = places, v, counts, mark
+        self.ends = np.cumsum(counts)
 
-    def __init__(self, rows: pa.Table):
+    @classmethod
+    def of(cls, rows: pa.Table) -> Sample:
         places = rows.column("places").combine_chunks()
-        self.counts = np.diff(places.offsets.to_numpy()) if len(places) else np.zeros(0, int)
-        self.places = places.flatten().to_numpy()
-        self.v = rows.column("v").combine_chunks().flatten().to_numpy()
-        self.mark = rows.column("mark").to_numpy()
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        counts = np.diff(places.offsets.to_numpy()) if len(places) else np.zeros(0, np.int64)
+        return cls(places.flatten().to_numpy(), rows.column("v").combine_chunks().flatten().to_numpy(), counts, rows.column("mark").to_numpy())
 
     def joined(self, other: Sample) -> Sample:
-        out = object.__new__(Sample)
-        out.counts, out.places, out.v, out.mark = (np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("counts", "places", "v", "mark"))
-        out.row = np.repeat(np.arange(len(out.counts)), out.counts)
-        return out
+        return Sample(*(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("places", "v", "counts", "mark")))
 
-    def part(self, rows: np.ndarray) -> Sample:
-        out, inside = object.__new__(Sample), rows[self.row]
-        out.counts, out.places, out.v, out.mark = self.counts[rows], self.places[inside], self.v[inside], self.mark[rows]
-        out.row = np.repeat(np.arange(len(out.counts)), out.counts)
-        return out
+    def _blocks(self):
+        """(first row, row after the last, first feature, feature after the last) of blocks of whole rows."""
+        row, n = 0, len(self.counts)
+        while row < n:
+            begin = self.ends[row] - self.counts[row]
+            after = max(row + 1, int(np.searchsorted(self.ends, begin + BLOCK, side="right")))
+            yield row, after, begin, self.ends[after - 1]
+            row = after
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.v * w[self.places], minlength=len(self.counts))
+        out = np.empty(len(self.counts))
+        for a, b, i, j in self._blocks():
+            out[a:b] = np.add.reduceat(self.v[i:j] * w[self.places[i:j]], self.ends[a:b] - self.counts[a:b] - i)
+        return out
 
     def gradient(self, of_rows: np.ndarray) -> np.ndarray:
-        return np.bincount(self.places, self.v * of_rows[self.row], minlength=KINDS << BITS)
+        g = np.zeros(KINDS << BITS)
+        for a, b, i, j in self._blocks():
+            g += np.bincount(self.places[i:j], self.v[i:j] * np.repeat(of_rows[a:b], self.counts[a:b]), minlength=len(g))
+        return g
 
 
 def sample(marked: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> Sample:
@@ -60,7 +72,7 @@ def sample(marked: DataFrame, docs: DataFrame, size: int, id_col: str, text_col:
     chosen = marked.filter("mark is not null").select(F.col("id"), F.col("mark").cast("int").alias("mark")).orderBy(F.xxhash64("id"), "id", "mark").limit(size)
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "id")
     ordered = joined.orderBy(F.xxhash64("id"), "id", F.xxhash64("body"), "mark").limit(size).select("body", "mark")
-    return Sample(ordered.mapInArrow(_featurised, "places array<int>, v array<float>, mark int").toArrow())
+    return Sample.of(ordered.mapInArrow(_featurised, "places array<int>, v array<float>, mark int").toArrow())
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

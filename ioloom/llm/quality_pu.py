@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import KINDS, linear_scores
 
-POSITIVES, UNLABELLED = 1500, 3000
+POSITIVES, UNLABELLED = 1000, 2000
 FOLDS, HELD_OUT = 3, 1
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import KINDS, linear_scores
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -63,9 +63,12 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, id_col: str
     if len(set(data.mark.tolist())) < 2:
         return None
     held = np.arange(len(data.mark)) % 5 == 4
-    train, rest = (data, data) if len(set(data.mark[~held].tolist())) < 2 or len(set(data.mark[held].tolist())) < 2 else (data.part(~held), data.part(held))
-    w, b = descend(train, lambda z: (sigmoid(z) - train.mark) / len(train.mark))
-    return QualityModel(w.reshape(KINDS, -1).astype(np.float32), b, *platt(rest.scores(w) + b, rest.mark))
+    if len(set(data.mark[~held].tolist())) < 2 or len(set(data.mark[held].tolist())) < 2:
+        held, seen = np.ones(len(held), bool), np.ones(len(held), bool)
+    else:
+        seen = ~held
+    w, b = descend(data, lambda z: np.where(seen, sigmoid(z) - data.mark, 0) / seen.sum())
+    return QualityModel(w.reshape(KINDS, -1).astype(np.float32), b, *platt(data.scores(w)[held] + b, data.mark[held]))
 
 
 def base_counts(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
