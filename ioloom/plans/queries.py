@@ -10,20 +10,9 @@ from ioloom.operators import features, rules
 from ioloom.operators.records import aggregate_records
 from ioloom.plans import sql
 from ioloom.plans.core import ORACLES, QUERIES, r6, register, rounded
+from ioloom.plans.stages import engineered, labelled, raw
 from ioloom.sources import surrogate
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.assemble(aggregate_records(surrogate.records(spark, sf_dir)), surrogate.jobs(spark, sf_dir))
-
-
-def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.engineer(features.clean(raw(spark, sf_dir)))
-
-
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.labelled(engineered(spark, sf_dir))
-
-
 _GROUPS = {"B1_sum_clamp": ["sum_clamp"], "B2_sum": ["sum"], "B3_max": ["max"], "B4_min_nonzero": ["min_nonzero"], "B5_last_value": ["last"], "B7_shared_last": ["shared_last"], "B8_shared_extremes": ["shared_min", "shared_max"], "B9_argmax_companion": ["argmax"], "B10_zeroed": ["zero"]}
 for _name, _rules in _GROUPS.items():
     _columns = [c for r in _rules for c in of_rule(r)]
@@ -103,6 +92,6 @@ def label_rates(spark, sf_dir):
 assert all(rule_of(c) != "top4" or c in _PLACES for c in MODULE_OF)
 
 # The other query modules register theirs on import.
-from ioloom.plans import metric_queries  # noqa: E402, F401
+from ioloom.plans import feature_queries, metric_queries  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]
