@@ -31,15 +31,13 @@ def ensure_columns(df: DataFrame, columns: list[str], default: float = 0.0) -> D
 
 def assemble(merged: DataFrame, jobs: DataFrame) -> DataFrame:
     """Merged records and job headers as one raw row per job, counters as doubles, missing ones 0."""
-    has = lambda *names: F.when(F.arrays_overlap("modules", F.array(*map(F.lit, names))), 1).otherwise(0)
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in merged.columns else F.lit(0.0)
-    rows = merged.join(jobs, "jobid")
-    return rows.select(
-        F.col("jobid").alias("_jobid"), F.col("uid").alias("_uid"), F.col("start_time").alias("_start_time"), F.array_join("modules", ",").alias("_modules"), *[F.col(c).alias(f"_{c}") for c in ("benchmark", "scenario") if c in jobs.columns],
-        F.greatest(F.coalesce("nprocs", F.lit(1)), F.lit(1)).cast("double").alias("nprocs"), F.greatest(F.coalesce("runtime", F.lit(0.0)), F.lit(0.0)).alias("runtime_seconds"),
-        *[number(c).alias(c) for c in ALL_COUNTERS],
-        has("POSIX").alias("has_posix"), has("MPI-IO").alias("has_mpiio"), has("STDIO").alias("has_stdio"), has("H5F", "H5D").alias("has_hdf5"), has("PNETCDF_FILE", "PNETCDF_VAR", "PNETCDF").alias("has_pnetcdf"), has("APMPI").alias("has_apmpi"), has("HEATMAP").alias("has_heatmap"),
-        F.coalesce(F.col("shared_posix").cast("int"), F.lit(0)).alias("is_shared_file"), F.col("num_files").cast("double").alias("num_files"),
+    has = lambda column, *names: f"CAST(arrays_overlap(modules, array({', '.join(repr(n) for n in names)})) AS INT) AS {column}"
+    number = lambda c: f"coalesce(CAST({c} AS DOUBLE), 0D) AS {c}" if c in merged.columns else f"0D AS {c}"
+    return merged.join(jobs, "jobid").selectExpr(
+        "jobid AS _jobid", "uid AS _uid", "start_time AS _start_time", "array_join(modules, ',') AS _modules", *[f"{c} AS _{c}" for c in ("benchmark", "scenario") if c in jobs.columns],
+        "CAST(greatest(coalesce(nprocs, 1), 1) AS DOUBLE) AS nprocs", "greatest(coalesce(CAST(runtime AS DOUBLE), 0D), 0D) AS runtime_seconds", *map(number, ALL_COUNTERS),
+        has("has_posix", "POSIX"), has("has_mpiio", "MPI-IO"), has("has_stdio", "STDIO"), has("has_hdf5", "H5F", "H5D"), has("has_pnetcdf", "PNETCDF_FILE", "PNETCDF_VAR", "PNETCDF"), has("has_apmpi", "APMPI"), has("has_heatmap", "HEATMAP"),
+        "coalesce(CAST(shared_posix AS INT), 0) AS is_shared_file", "CAST(num_files AS DOUBLE) AS num_files",
     )
 
 
@@ -131,7 +129,7 @@ def derived_columns() -> dict[str, Column]:
 def engineer(cleaned: DataFrame) -> DataFrame:
     """cleaned with -1 replaced by 0 in every feature and the derived features added: two projections."""
     features = set(numeric_columns(cleaned))
-    whole = cleaned.select(*[F.when(F.col(c) == -1, F.lit(0.0)).otherwise(F.col(c)).cast("double").alias(c) if c in features else F.col(c) for c in cleaned.columns])
+    whole = cleaned.selectExpr(*[f"CAST(CASE WHEN {c} = -1 THEN 0D ELSE {c} END AS DOUBLE) AS {c}" if c in features else c for c in cleaned.columns])
     made = derived_columns()
     return whole.select("*", *[made[c].alias(c) for c in DERIVED])
 

@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ioloom.functions.counters import ALL_COUNTERS, MODULE_OF, MODULES, TOP4, rule_of, top4_columns
 
 
-def _shared(module: str) -> Column:
+# Expressions are SQL text: a plan of 136 counters is parsed at once instead of being built call by call.
+
+
+def _shared(module: str) -> str:
     """One distinct file only among the module's records: its least and greatest id agree."""
-    file_id = F.when(F.col("module") == module, F.col("file_id"))
-    return F.coalesce(F.min(file_id) == F.max(file_id), F.lit(False))
+    file_id = f"CASE WHEN module = '{module}' THEN file_id END"
+    return f"coalesce(min({file_id}) = max({file_id}), false)"
 
 
-def _last(c: str) -> Column:
-    return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("record_seq")))
+def _last(c: str) -> str:
+    return f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN record_seq END)"
 
 
-def merged(c: str) -> Column:
+def merged(c: str) -> str:
     """The aggregate that merges counter c over a job's records."""
-    v, rule, shared = F.col(c), rule_of(c), _shared(MODULE_OF[c])
+    rule, shared = rule_of(c), _shared(MODULE_OF[c])
     if rule == "sum_clamp":
-        return F.when(F.max(v == -1), F.lit(-1)).otherwise(F.sum(v))
-    if rule == "sum":
-        return F.sum(v)
-    if rule == "max":
-        return F.max(v)
-    if rule == "min_nonzero":
-        return F.coalesce(F.min(F.when(v > 0, v)), F.lit(0.0))
-    if rule == "last":
-        return _last(c)
-    if rule == "shared_last":
-        return F.when(shared, _last(c)).otherwise(-1)
-    if rule == "shared_min":
-        return F.when(shared, F.min(v)).otherwise(0.0)
-    if rule == "shared_max":
-        return F.when(shared, F.max(v)).otherwise(0.0)
+        return f"CASE WHEN max({c} = -1) THEN -1 ELSE sum({c}) END"
     if rule == "argmax":
-        time = F.col(c.replace("MAX_", "F_MAX_").replace("_TIME_SIZE", "_TIME"))
-        return F.max_by(v, F.when(time.isNotNull(), F.struct(time, -F.col("record_seq"))))
-    return F.lit(0.0)
+        time = c.replace("MAX_", "F_MAX_").replace("_TIME_SIZE", "_TIME")
+        return f"max_by({c}, CASE WHEN {time} IS NOT NULL THEN struct({time}, -record_seq) END)"
+    return {
+        "sum": f"sum({c})",
+        "max": f"max({c})",
+        "min_nonzero": f"coalesce(min(CASE WHEN {c} > 0 THEN {c} END), 0D)",
+        "last": _last(c),
+        "shared_last": f"CASE WHEN {shared} THEN {_last(c)} ELSE -1 END",
+        "shared_min": f"CASE WHEN {shared} THEN min({c}) ELSE 0D END",
+        "shared_max": f"CASE WHEN {shared} THEN max({c}) ELSE 0D END",
+        "zero": "0D",
+    }[rule]
 
 
 def top4_merge(records: DataFrame, groups: list[str], key: str = "jobid") -> DataFrame:
     """One row per job with each group's four most counted values: counts of equal values are added,
     ordered by count, then by value, both descending; unused places are 0."""
-    pairs = F.array(*[F.struct(F.lit(g).alias("grp"), F.col(v).alias("value"), F.col(n).alias("n")) for g in groups for v, n in top4_columns(g)])
-    counted = records.select(key, F.explode(pairs).alias("x")).filter("x.n > 0").groupBy(key, "x.grp", "x.value").agg(F.sum("x.n").alias("n"))
+    pairs = ", ".join(f"named_struct('grp', '{g}', 'value', {v}, 'n', {n})" for g in groups for v, n in top4_columns(g))
+    counted = records.selectExpr(key, f"explode(array({pairs})) AS x").filter("x.n > 0").groupBy(key, "x.grp", "x.value").agg(F.sum("x.n").alias("n"))
     place = F.row_number().over(Window.partitionBy(key, "grp").orderBy(F.desc("n"), F.desc("value")))
     best = counted.withColumn("place", place).filter("place <= 4")
-    pick = lambda g, i, c: F.coalesce(F.max(F.when((F.col("grp") == g) & (F.col("place") == i), F.col(c))), F.lit(0))
-    return best.groupBy(key).agg(*[pick(g, i + 1, c).alias(name) for g in groups for i, pair in enumerate(top4_columns(g)) for name, c in zip(pair, ("value", "n"), strict=True)])
+    picks = [F.expr(f"coalesce(max({c}) FILTER (WHERE grp = '{g}' AND place = {i}), 0) AS {name}") for g in groups for i, pair in enumerate(top4_columns(g), 1) for name, c in zip(pair, ("value", "n"), strict=True)]
+    return best.groupBy(key).agg(*picks)
 
 
 def aggregate_records(records: DataFrame, counters: list[str] | None = None, key: str = "jobid") -> DataFrame:
@@ -63,8 +61,8 @@ def aggregate_records(records: DataFrame, counters: list[str] | None = None, key
     groups = [g for g in TOP4 if any(c in chosen for pair in top4_columns(g) for c in pair)]
     dealt = records.repartition(key)
     plain = [c for c in chosen if rule_of(c) != "top4"]
-    flags = [_shared(m).alias(f"shared_{m.replace('-', '').lower()}") for m in MODULES]
-    out = dealt.groupBy(key).agg(*[merged(c).alias(c) for c in plain], *flags, F.count("*").alias("n_records"))
+    flags = [F.expr(f"{_shared(m)} AS shared_{m.replace('-', '').lower()}") for m in MODULES]
+    out = dealt.groupBy(key).agg(*[F.expr(f"{merged(c)} AS {c}") for c in plain], *flags, F.count("*").alias("n_records"))
     # Apart, so that the wide grouping has neither distinct phases nor a set in its buffer.
     out = out.join(dealt.groupBy(key).agg(F.countDistinct("file_id").alias("num_files"), F.array_sort(F.collect_set("module")).alias("modules")), key)
     if groups:

@@ -67,9 +67,9 @@ def labelled(engineered: DataFrame, min_confidence: float | None = None, source:
     dims = {d: any_of(CODES_OF[d]) for d in DIMENSIONS[:-1]}
     rows = rows.select("*", *[c.alias(d) for d, c in dims.items()])
     rows = rows.withColumn("healthy", (F.greatest(*dims) == 0).cast("int"))
-    fired = sum((F.col(c) for c in CODES[1:]), F.col(CODES[0]))
-    weight = sum((F.col(c) * WEIGHT[SEVERITY[c]] for c in CODES if SEVERITY[c] in WEIGHT), F.lit(0))
-    weighed = sum((F.col(c) for c in CODES if SEVERITY[c] in WEIGHT), F.lit(0))
+    issues = [c for c in CODES if SEVERITY[c] in WEIGHT]
+    fired, weighed = F.expr(" + ".join(CODES)), F.expr(" + ".join(issues))
+    weight = F.expr(" + ".join(f"{c} * {WEIGHT[SEVERITY[c]]}" for c in issues))
     rows = rows.withColumn("confidence", F.when(F.col("healthy") == 1, 0.5).otherwise(weight / (10 * F.greatest(weighed, F.lit(1)))))
     out = rows.select(*[c for c in engineered.columns if c.startswith("_")], *DIMENSIONS, "confidence", F.lit(source).alias("label_source"), fired.alias("n_codes"), *sorted(CODES))
     return out if min_confidence is None else out.filter(F.col("confidence") >= min_confidence)
