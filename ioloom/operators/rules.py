@@ -58,8 +58,8 @@ def any_of(codes: list[str]) -> Column:
     return F.greatest(*[F.col(c) for c in codes]) if len(codes) > 1 else F.col(codes[0])
 
 
-def labelled(engineered: DataFrame, min_confidence: float | None = None, source: str = "rules") -> DataFrame:
-    """The job's identifiers, its labels, confidence, label_source and codes in name order.
+def labelled(engineered: DataFrame, min_confidence: float | None = None, source: str = "rules", keep: list[str] = ()) -> DataFrame:
+    """The job's identifiers, the features to keep, its labels, confidence, label_source and codes in name order.
 
     Confidence is the mean weight of the fired codes, 0.5 for a healthy job.
     """
@@ -71,7 +71,7 @@ def labelled(engineered: DataFrame, min_confidence: float | None = None, source:
     fired, weighed = F.expr(" + ".join(CODES)), F.expr(" + ".join(issues))
     weight = F.expr(" + ".join(f"{c} * {WEIGHT[SEVERITY[c]]}" for c in issues))
     rows = rows.withColumn("confidence", F.when(F.col("healthy") == 1, 0.5).otherwise(weight / (10 * F.greatest(weighed, F.lit(1)))))
-    out = rows.select(*[c for c in engineered.columns if c.startswith("_")], *DIMENSIONS, "confidence", F.lit(source).alias("label_source"), fired.alias("n_codes"), *sorted(CODES))
+    out = rows.select(*[c for c in engineered.columns if c.startswith("_")], *keep, *DIMENSIONS, "confidence", F.lit(source).alias("label_source"), fired.alias("n_codes"), *sorted(CODES))
     return out if min_confidence is None else out.filter(F.col("confidence") >= min_confidence)
 
 

@@ -53,7 +53,7 @@ def records_sql(counters: list[str] | None = None, lineitem: str = "lineitem") -
 
 
 JOBS_SQL = """SELECT o_orderkey AS jobid, o_custkey AS uid, CAST(o_custkey % 64 AS BIGINT) AS nprocs, {epoch} AS start_time,
-CAST(floor(o_totalprice) AS BIGINT) % 5000 / 8.0 - 2 AS runtime, o_orderpriority AS benchmark, o_orderstatus AS scenario FROM {orders}"""
+CAST(CAST(floor(o_totalprice) AS BIGINT) % 5000 AS DOUBLE) / 8 - 2 AS runtime, o_orderpriority AS benchmark, o_orderstatus AS scenario FROM {orders}"""
 
 
 def jobs_sql(orders: str = "orders", spark: bool = False) -> str:
@@ -92,7 +92,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS_SQL = """SELECT o_orderpriority AS workload, o_orderstatus AS model, o_custkey AS run_id, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus, o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS iteration,
-o_orderkey % 13 / 4.0 AS speedup, o_custkey % 5 <> 0 AS executed, CAST(floor(o_totalprice) AS BIGINT) % 7 = 0 AS rollback, CAST(o_orderkey % 3 AS BIGINT) AS open_dims, CAST(floor(o_totalprice) AS BIGINT) % 1000 / 8.0 AS bandwidth, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS tokens FROM {orders}"""
+CAST(o_orderkey % 13 AS DOUBLE) / 4 AS speedup, o_custkey % 5 <> 0 AS executed, CAST(floor(o_totalprice) AS BIGINT) % 7 = 0 AS rollback, CAST(o_orderkey % 3 AS BIGINT) AS open_dims, CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS DOUBLE) / 8 AS bandwidth, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS tokens FROM {orders}"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

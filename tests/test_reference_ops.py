@@ -96,5 +96,5 @@ def test_query_equals_its_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    plain = lambda d: sorted(tuple("" if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) else str(x) for x in r) for r in d[cols].astype(object).itertuples(index=False))
+    plain = lambda d: sorted(tuple("" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) else str(x) for x in r) for r in d[cols].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
