@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,19 +36,14 @@ def test_top4_merge_adds_equal_values_and_breaks_ties_by_value(spark):
     assert [(r[f"POSIX_ACCESS{i}_ACCESS"], r[f"POSIX_ACCESS{i}_COUNT"]) for i in range(1, 5)] == [(16, 5), (128, 4), (512, 3), (256, 3)]
 
 
-def engineered_row(spark, **values):
-    base = {c: 0.0 for c in ALL_COUNTERS} | {c: 0 for c in ("has_posix", "has_mpiio", "has_stdio", "has_hdf5", "has_pnetcdf", "has_apmpi", "has_heatmap", "is_shared_file")} | {"nprocs": 1.0, "runtime_seconds": 10.0, "num_files": 1.0, "_jobid": 1}
-    return features.engineer(spark.createDataFrame([base | values]))
-
-
-def test_rule_boundaries(spark):
-    fired = lambda **v: {c for c in rules.CODES if rules.with_codes(engineered_row(spark, **v)).first()[c]}
-    assert "P05" not in fired(POSIX_READS=1000.0, POSIX_SIZE_READ_0_100=1000.0) and "P05" in fired(POSIX_READS=1001.0, POSIX_SIZE_READ_0_100=1001.0)
-    assert "P17" not in fired(POSIX_F_META_TIME=30.0) and "P17" in fired(POSIX_F_META_TIME=30.1)
-    r = rules.labelled(engineered_row(spark, has_mpiio=1, MPIIO_NB_READS=1.0, MPIIO_NB_WRITES=1.0)).first()
-    assert r.healthy == 1 and r.confidence == 0.5
-    r = rules.labelled(engineered_row(spark, has_mpiio=1, POSIX_F_META_TIME=31.0, POSIX_MAX_BYTE_READ=5.0)).first()
-    assert (r.healthy, r.metadata_intensity, r.throughput_utilization) == (0, 1, 1) and r.confidence == pytest.approx((1 + 0.7 * 3) / 4)
+def test_rule_boundaries(spark, tmp_path):
+    base = {c: 0.0 for c in ALL_COUNTERS} | {c: 0 for c in ("has_posix", "has_mpiio", "has_stdio", "has_hdf5", "has_pnetcdf", "has_apmpi", "has_heatmap", "is_shared_file")} | {"nprocs": 1.0, "runtime_seconds": 10.0, "num_files": 1.0}
+    cases = [{"POSIX_READS": 1000.0, "POSIX_SIZE_READ_0_100": 1000.0}, {"POSIX_READS": 1001.0, "POSIX_SIZE_READ_0_100": 1001.0}, {"POSIX_F_META_TIME": 30.0}, {"POSIX_F_META_TIME": 30.1}, {"has_mpiio": 1, "MPIIO_NB_READS": 1.0, "MPIIO_NB_WRITES": 1.0}, {"has_mpiio": 1, "POSIX_F_META_TIME": 31.0, "POSIX_MAX_BYTE_READ": 5.0}]
+    pd.DataFrame([{"_jobid": i} | base | c for i, c in enumerate(cases)]).to_parquet(tmp_path / "rows.parquet")
+    got = {r["_jobid"]: r for r in rules.labelled(features.engineer(spark.read.parquet(str(tmp_path / "rows.parquet")))).collect()}
+    assert [got[i].P05 for i in (0, 1)] == [0, 1] and [got[i].P17 for i in (2, 3)] == [0, 1]
+    assert got[4].healthy == 1 and got[4].confidence == 0.5
+    assert (got[5].healthy, got[5].metadata_intensity, got[5].throughput_utilization) == (0, 1, 1) and got[5].confidence == pytest.approx((1 + 0.7 * 3) / 4)
 
 
 def test_metric_identities(spark):
@@ -88,7 +84,7 @@ def test_constants_and_clipped_logs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
-@pytest.mark.parametrize("name", sorted(set(ORACLES) & {"B3_max", "B8_shared_extremes", "C9_cleaning_report", "E25_E27_labels", "label_rates", "H5_temporal_split", "J3_nearest_interval", "J5_longest_prefix", "L2_L3_micro_macro", "L17_ranking", "F1_F3_pattern_labels", "N4_N6_run_progress", "M4_M6_retrieval"}))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & {"B3_max", "label_rates", "H5_temporal_split", "J3_nearest_interval", "J5_longest_prefix", "L17_ranking", "F1_F7_pattern_labels", "N4_N6_run_progress"}))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
@@ -96,5 +92,5 @@ def test_query_equals_its_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    plain = lambda d: sorted(tuple("" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) else str(x) for x in r) for r in d[cols].astype(object).itertuples(index=False))
+    plain = lambda d: sorted(tuple("" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, (int, float)) else str(x) for x in r) for r in d[cols].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
