@@ -154,12 +154,17 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, fingerprint (16 hex digits), component_id (smallest id reachable) for every document."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and (fp, root, least) of each: its component's smallest fingerprint and its own smallest id."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     joined = components(links(nodes))
-    rooted = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    return rows, nodes.join(joined, nodes.fp == joined.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, fingerprint (16 hex digits), component_id (smallest id reachable) for every document."""
+    rows, rooted = _rooted(docs, id_col, text_col)
     small = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(small, "root").select("fp", "component_id")
     out = rows.join(classes, "fp")
@@ -171,8 +176,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows that agree in id and text are one. A group without any known id keeps its smallest text hash.
     """
-    found = simhash_components(docs, id_col, text_col)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("k"))
+    rows, rooted = _rooted(docs, id_col, text_col)
+    # By root, not by component_id: components may share their smallest id, or have none.
+    first = rows.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", F.col("text_hash").alias("h"))).alias("k"))
     chosen = first.select(F.col("k.id").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
     # The join's keys are those of the last step, so the texts are shuffled once.
     keys = lambda c, h: {"_known": F.coalesce(F.col(c).cast("string"), F.lit("")), "_null": F.col(c).isNull(), "_hash": h}
