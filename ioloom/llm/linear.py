@@ -12,8 +12,12 @@ from ioloom.llm.ngrams import BITS, KINDS, sparse_features
 STEPS, RATE, DECAY = 100, 0.4, 1e-5
 
 
+#: Texts that a task holds as features at once.
+ROWS = 256
+
+
 def _featurised(batches):
-    for batch in batches:
+    for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
         places, values = [], []
         for p, v in sparse_features([t or "" for t in batch.column(0).to_pylist()]):
             places.append(p)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import KINDS, linear_scores
 
-POSITIVES, UNLABELLED = 1000, 2000
+POSITIVES, UNLABELLED = 1500, 3000
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -44,6 +44,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(p.counts) or not len(u.counts):
         return flat, float(np.log(prior / (1 - prior)))
     both = p.joined(u)
+    # Their features are copied by now, and the fit needs the memory.
+    del p, u
+    pa.default_memory_pool().release_unused()
     positive = both.mark == 1
     n_p, n_u = positive.sum(), (~positive).sum()
 

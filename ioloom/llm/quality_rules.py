@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import KINDS, linear_scores
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 3000
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
