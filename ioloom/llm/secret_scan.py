@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for other candidates.
 
-A candidate is a run of 16 or more token characters with letters and digits, within CONTEXT
-characters after a sensitive word. Its novelty is the number of bytes by which it lengthens the zstandard
+A candidate is a run of 16 or more token characters within CONTEXT characters after a sensitive
+word, or what follows such a word and its separators in a run. Its novelty is the number of bytes by which it lengthens the zstandard
 frame of the text around it, the compressor being primed with a dictionary of code identifiers and
 plain words. A candidate that costs at least NOVEL_SHARE of its own bytes is incompressible there
-and is reported as kind novel, unless a pattern's span covers part of it.
+and is reported as kind novel, unless a pattern's span covers part of it. Long words are as costly in short
+texts: a candidate without digits that consists of pronounceable words passes for a name.
 
 Defined results: null and empty texts have no spans; repeated rows get equal spans; an empty table
 gives no rows; columns other than those named are ignored. Spans are code points, end exclusive.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,7 +32,10 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"auth", b"bearer", b"credential", b"key", b"passphrase", b"passwd", b"password", b"private", b"pwd", b"secret", b"session", b"signature", b"token")
 SENSITIVE_WORD = re.compile("|".join(w.decode() for w in SENSITIVE), re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CONTEXT, NOVEL_SHARE = 48, 0.65
+SEPARATORS = re.compile(r"[+/_=-]*")
+MIN_CANDIDATE, CONTEXT, NOVEL_SHARE = 16, 48, 0.65
+#: The words of a name in camel or snake case, their mean length at least, and what they hardly contain.
+WORD, WORD_LENGTH, HARD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), 3.5, re.compile(r"[b-df-hj-np-tv-xz]{5}", re.IGNORECASE)
 
 #: Primes the compressor: identifiers and words that are common beside secrets but aren't secret.
 DICTIONARY = (
@@ -58,6 +63,12 @@ def novelty(before: str, candidate: str, after: str = "") -> int:
     return len(compress(around + candidate.encode())) - len(compress(around))
 
 
+def wordlike(candidate: str) -> bool:
+    """Whether a candidate without digits consists of pronounceable words."""
+    words = WORD.findall(candidate)
+    return bool(words) and sum(map(len, words)) >= WORD_LENGTH * len(words) and not any(HARD.search(w) for w in words)
+
+
 def spans_of(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start, then kind in the order of KINDS. raw is the text's UTF-8."""
     found: list[tuple[int, int, int]] = []
@@ -76,14 +87,18 @@ def spans_of(text: str, raw: bytes) -> list[tuple[int, int, str]]:
             a, b = m.span()
             while at + 1 < len(ends) and ends[at + 1] <= a:
                 at += 1
-            # The sensitive word stands before the candidate, or opens it (as in key_3f...).
-            if not any(0 <= a - e <= CONTEXT for e in ends[at : at + 1]):
-                continue
-            word = m[0]
-            if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(x < b and y > a for x, y in taken):
-                continue
-            if novelty(text[max(0, a - 2 * CONTEXT) : a], word, text[b : b + CONTEXT]) >= NOVEL_SHARE * len(word):
-                found.append((a, b, 3))
+            # The sensitive word stands before the run, or in it (as in key_3f...): of those in it the first is
+            # tried, which leaves nothing out, and the last, which leaves most names out.
+            starts = [a] if 0 <= a - ends[at] <= CONTEXT else []
+            inside = [SEPARATORS.match(text, e, b).end() for e in ends[bisect_right(ends, a) : bisect_right(ends, b)]]
+            roomy = [x for x in inside if b - x >= MIN_CANDIDATE]
+            for start in [*starts, *roomy[:1], *roomy[-1:]]:
+                word = text[start:b]
+                if any(x < b and y > start for x, y in taken) or not any(c.isdigit() for c in word) and wordlike(word):
+                    continue
+                if novelty(text[max(0, start - 2 * CONTEXT) : start], word, text[b : b + CONTEXT]) >= NOVEL_SHARE * len(word):
+                    found.append((start, b, 3))
+                    break
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
