@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading tables and the shared scratch folder."""
+"""What the operators of this subpackage share: tables, the shared scratch folder and joins that hot keys can't stall."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCRATCH = "ioloom-"
+#: A key is hot from this many rows on, and from a 2000th of all rows on: there are 2000 hot keys at most.
+HOT_ROWS, HOT_KEYS = 1000, 2000
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -29,20 +34,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session names no such folder, as in local tests, one is made for it.
+    Only a local session that names no such folder, as in tests, gets one; a cluster's must name it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ioloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix=SCRATCH)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/ioloom-{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{SCRATCH}{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    The files stay until the owner of the shared folder clears it, as with checkpoints.
+    Its files stay until discarded(), or until the owner of the shared folder clears it.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made, once nothing will read it again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[1].startswith(SCRATCH):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread_by: str, total: int) -> DataFrame:
+    """rows with the other columns of keyed (one row a key; count: how many of rows have the key).
+
+    A hot key's rows are spread by a hash of spread_by over so many salts that each holds few, and the
+    key's row is repeated for each salt. The list of hot keys is broadcast: it has HOT_KEYS rows at most.
+    """
+    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if total <= limit:
+        return rows.join(keyed, key)
+    salts = F.ceil(F.col(count) / limit).cast("int")
+    hot = keyed.filter(F.col(count) > limit).select(F.col(key).alias("hot_key"), salts.alias("hot_salts"))
+    left = rows.join(F.broadcast(hot), rows[key] == F.col("hot_key"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("hot_salts")), F.lit(0)).cast("int"))
+    right = keyed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0)))).alias("salt"))
+    return left.drop("hot_key", "hot_salts").join(right, [key, "salt"]).drop("salt")

@@ -4,9 +4,11 @@ The model is fitted on SAMPLE_ROWS labelled rows at most (those first by a hash
 five fit the weights, the fifth calibrates the score by Platt's logistic map. Every text is then
 scored whole, in Arrow batches, and kept from a fixed probability of good quality on.
 
-Defined results: null and empty texts have no words and so fail the base rules; labels that are null
-or not 0 or 1 are passed over; with no labels, or labels of one kind only, the base rules alone
-decide; repeated rows get equal results; columns other than those named are ignored.
+Defined results: null and empty texts have no words and so fail the base rules; very long texts are counted and
+scored whole; labels that are null or not 0 or 1 are passed over; with no labels, or labels of one kind only
+among the rows that fit, the base rules alone decide; with one kind only among those that calibrate, the score
+stays as it is; repeated rows get equal results; an empty table gives no rows; columns other than those named are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import KINDS, linear_scores
 
 SAMPLE_ROWS = 3000
+#: One of so many sampled rows calibrates the score instead of fitting the weights.
+CALIBRATION = 5
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -59,16 +63,20 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
     marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("mark"))
-    data = sample(marked, docs, size, id_col, text_col)
-    if len(set(data.mark.tolist())) < 2:
+    data = sample(docs, [(marked, size)], id_col, text_col, CALIBRATION)
+    bad, good = data.sums(None, by_mark=True)
+    if not bad.n or not good.n:
+        data.discard()
         return None
-    held = np.arange(len(data.mark)) % 5 == 4
-    if len(set(data.mark[~held].tolist())) < 2 or len(set(data.mark[held].tolist())) < 2:
-        held, seen = np.ones(len(held), bool), np.ones(len(held), bool)
-    else:
-        seen = ~held
-    w, b = descend(data, lambda z: np.where(seen, sigmoid(z) - data.mark, 0) / seen.sum())
-    return QualityModel(w.reshape(KINDS, -1).astype(np.float32), b, *platt(data.scores(w)[held] + b, data.mark[held]))
+
+    def slope(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        now, _ = data.sums(w, b)
+        return (now.x - good.x) / now.n, (now.up - good.n) / now.n
+
+    w, b = descend(slope)
+    z, y = data.held_scores(w, b)
+    data.discard()
+    return QualityModel(w.reshape(KINDS, -1).astype(np.float32), b, *(platt(z, y) if len(set(y.tolist())) == 2 else (1.0, 0.0)))
 
 
 def base_counts(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
@@ -101,10 +109,10 @@ def base_counts(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _rows(batches, model: QualityModel | None, keep_from: float):
-    """(batch, texts' judgement columns) of each batch; the text is its last column."""
+def _rows(batches, at: int, model: QualityModel | None, keep_from: float):
+    """(batch, its texts' judgement columns) of each batch; at: the text's column."""
     for batch in batches:
-        column = batch.column(batch.num_columns - 1).fill_null("")
+        column = batch.column(at).fill_null("")
         texts, raws = column.to_pylist(), column.cast(pa.binary()).to_pylist()
         base = np.array([base_counts(t, r) for t, r in zip(texts, raws, strict=True)], np.int64).reshape(-1, 5)
         failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
@@ -113,14 +121,14 @@ def _rows(batches, model: QualityModel | None, keep_from: float):
 
 
 def _judged(batches, model, keep_from):
-    for batch, base, failed, kept, p in _rows(batches, model, keep_from):
+    for batch, base, failed, kept, p in _rows(batches, 1, model, keep_from):
         columns = [batch.column(0), *[pa.array(base[:, i]) for i in range(5)], pa.array(failed), pa.array(kept), pa.array(p)]
         yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], *_NAMES, "base_failed", "kept", "probability"])
 
 
-def _filtered(batches, model, keep_from):
-    for batch, _, _, kept, _ in _rows(batches, model, keep_from):
-        yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(kept))
+def _filtered(batches, at, model, keep_from):
+    for batch, _, _, kept, _ in _rows(batches, at, model, keep_from):
+        yield batch.filter(pa.array(kept, pa.bool_()))
 
 
 def judge(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,5 +141,5 @@ def judge(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_F
 
 def keep_good(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("*", F.col(text_col).alias("_judged_text")).mapInArrow(lambda batches: _filtered(batches, shared.value, keep_from), docs.schema)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    return docs.mapInArrow(lambda batches: _filtered(batches, at, shared.value, keep_from), docs.schema)
