@@ -12,6 +12,7 @@ import array
 import os
 import re
 import sys
+import unicodedata
 from functools import lru_cache
 
 #: Words held per worker process; later ones are encoded each time.
@@ -20,8 +21,14 @@ CACHE_WORDS = 1_500_000
 CACHE_CHARS = 48
 
 
-#: Latin letters, then ASCII marks without the apostrophe: two pre-tokens in both vocabularies.
-_MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-^`{-~]+)")
+def _plain_letters() -> str:
+    """The Latin letters that stay one letter, composed with nothing, when a vocabulary lower-cases and composes them."""
+    lone = lambda c: c.isalpha() and len(c.lower()) == 1 and all(unicodedata.normalize("NFC", x) == x for x in (c, c.lower()))
+    return "".join(c for c in map(chr, range(0x41, 0x250)) if lone(c))
+
+
+#: Such letters, then ASCII marks without the apostrophe: two pre-tokens in both vocabularies.
+_MARKED = re.compile(rf"([{_plain_letters()}]+)([!-&(-/:-@\[-^`{{-~]+)")
 
 
 class _Words(dict):
