@@ -1,4 +1,8 @@
-"""Leaf blocks of an HTML page: the text runs between block-level tags, with their ancestors."""
+"""Leaf blocks of an HTML page: the text runs between block-level tags, with their ancestors.
+
+Tags are read by HTML's attribute states, so a stray quote or angle bracket costs no text. Time is
+linear in the page: what a page lacks (the end of a comment, a second quote) is looked for once.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +13,44 @@ from dataclasses import dataclass, field
 # How HTML treats its elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg head title object canvas audio video math".split())
+#: Their content is text without tags, and never a block.
+RAW = frozenset("script style title".split())
+#: Their content may hold tags, and is never a block. One that is never closed counts as absent.
+SKIPPED = frozenset("noscript template iframe svg object canvas audio video math".split())
 #: Opening one of these ends an open element of the listed kinds.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: A search for an element to end stops at these.
 SCOPE = frozenset("ul ol dl table article section aside nav div main body header footer form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_SPACE = re.compile(r"[\x00-\x20\xa0  ]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: White space and slashes, then the tag's end, or an attribute's name and what opens its value.
+_STEP = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*([\"']?))?)")
+_BARE = re.compile(r"[^\s>]*")
+_PAIRED = re.compile(rf"<(/?)({'|'.join(sorted(SKIPPED))})(?=[\s/>])[^<>]*>", re.IGNORECASE)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
+_MARKUP = re.compile(r"<[a-zA-Z/!]")
+
+
+class Node:
+    """An open element: its tag, the words of its class, id and role, its label and its parent."""
+
+    __slots__ = ("label", "parent", "said", "tag", "words")
+
+    def __init__(self, tag: str, words: str, label: str | None, parent: Node | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.label = label if label is not None or parent is None else parent.label
+        self.said: object = None  # room for what a reader derives from the element and its ancestors
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, str], ...]  # (tag, class, id and role words) from the outermost inwards
+    node: Node | None  # the innermost block-level element
     link_chars: int = 0
-    label: int | None = None
+
+    @property
+    def label(self) -> int | None:
+        return None if self.node is None or self.node.label is None else int(self.node.label)
 
 
 @dataclass
@@ -34,15 +59,79 @@ class _Open:
     link_chars: int = 0
 
 
-def _attributes(raw: str) -> tuple[str, str | None]:
+class _Reader:
+    def __init__(self, page: str):
+        self.page = page
+        self.lacking: set[str] = set()
+        self.ends: dict[int, int] | None = None
+
+    def find(self, what: str, at: int) -> int:
+        """page.find, looking once only for what isn't there to the page's end."""
+        if what in self.lacking:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.lacking.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[int, list[tuple[str, str]], bool] | None:
+        """(end, attributes, self-closing) of the tag whose name ends at at; None if the page ends in it.
+
+        A quote that no other one follows doesn't hide the rest: the tag then ends at the next >.
+        """
+        begin, attributes = at, []
+        while m := _STEP.match(self.page, at):
+            at = m.end()
+            if m[1]:
+                return at, attributes, self.page[at - 2] == "/"
+            name, quote = m[2].lower(), m[3]
+            if quote is None:
+                attributes.append((name, ""))
+                continue
+            if quote:
+                after = self.find(quote, at)
+                if after < 0:
+                    end = self.find(">", begin)
+                    return None if end < 0 else (end + 1, attributes, False)
+                attributes.append((name, self.page[at:after]))
+                at = after + 1
+            else:
+                value = _BARE.match(self.page, at)
+                attributes.append((name, value[0]))
+                at = value.end()
+        return None
+
+    def skip(self, begin: int, at: int) -> int:
+        """Where the skipped element that begins at begin ends; at, where its tag ends, if it is never closed."""
+        if self.ends is None:
+            self.ends, open_ = {}, {}
+            for m in _PAIRED.finditer(self.page):
+                tag = m[2].lower()
+                if not m[1]:
+                    if not m[0].endswith("/>"):
+                        open_.setdefault(tag, []).append(m.start())
+                elif open_.get(tag):
+                    self.ends[open_[tag].pop()] = m.end()
+        return self.ends.get(begin, at)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where a raw element's content ends; without an end tag, at the next markup."""
+        if f"</{tag}" not in self.lacking:
+            if m := _RAW_END[tag].search(self.page, at):
+                return m.end()
+            self.lacking.add(f"</{tag}")
+        m = _MARKUP.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+
+def _described(attributes: list[tuple[str, str]]) -> tuple[str, str | None]:
     words, label = [], None
-    for name, a, b, c, hidden in _ATTR.findall(raw):
-        value, name = a or b or c, name.lower()
+    for name, value in attributes:
         if name in ("class", "id", "role"):
             words.append(value)
         elif name == "data-main":
             label = value
-        elif hidden or name == "style" and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value == "true":
+        elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value == "true":
             words.append("hidden")
     return " ".join(words), label
 
@@ -52,15 +141,16 @@ def blocks(page: str | None) -> list[Block]:
     block is one space; character references are decoded; a page may be malformed anywhere."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str, str | None]] = []
+    read = _Reader(page)
+    stack: list[Node] = []
+    depth: dict[str, int] = {}  # open elements by tag
     now, links = _Open(), 0
 
     def close():
         nonlocal now
-        text = _SPACE.sub(" ", html.unescape("".join(now.pieces))).strip(" ")
+        text = " ".join(html.unescape("".join(now.pieces)).split())
         if text:
-            label = next((y for _, _, y in reversed(stack) if y is not None), None)
-            out.append(Block(text, tuple((t, w) for t, w, _ in stack if t not in INLINE), now.link_chars, None if label is None else int(label)))
+            out.append(Block(text, stack[-1] if stack else None, now.link_chars))
         now = _Open()
 
     def text(piece: str):
@@ -68,21 +158,39 @@ def blocks(page: str | None) -> list[Block]:
         if links:
             now.link_chars += len(piece)
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def pop_to(k: int):
+        for node in stack[k:]:
+            depth[node.tag] -= 1
+        del stack[k:]
+
+    at, kept = 0, 0  # the text from kept to at isn't taken yet
+    while (at := page.find("<", at)) >= 0:
+        begin = at
+        if page.startswith("<!--", at):
+            end = read.find("-->", at + 4)
+            end = end + 3 if end >= 0 else read.find(">", at) + 1 or len(page)
+            text(page[kept:begin])
+            kept = at = end
+            continue
+        if page.startswith(("<!", "<?"), at):
+            text(page[kept:begin])
+            kept = at = read.find(">", at) + 1 or len(page)
+            continue
+        closing = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + closing)
+        if name is None:
+            at += 1
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if tag in RAW and not closing:
-            if tag not in ("script", "style", "title", "noscript") or not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                if tag == "head" and (body := re.compile(r"<body\b|<article\b|<main\b", re.IGNORECASE).search(page, at)) and (end is None or body.start() < end.start()):
-                    at = body.start()
-                else:
-                    at = end.end() if end else len(page) if tag != "head" else at
+        found = read.tag(name.end())
+        text(page[kept:begin])
+        if found is None:
+            kept = at = len(page)
+            break
+        (at, attributes, alone), tag = found, name[0].lower()
+        kept = at
+        if tag in RAW or tag in SKIPPED:
+            if not closing and not (alone and tag not in RAW):
+                kept = at = read.raw_end(tag, at) if tag in RAW else read.skip(begin, at)
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -90,29 +198,29 @@ def blocks(page: str | None) -> list[Block]:
             now.pieces.append(" ")
             continue
         if tag in INLINE:
-            if not closing and tag not in VOID and m[3]:
-                words, label = _attributes(m[3])
-                if words and ("hidden" in words.split()):
-                    close()
+            if not closing and tag not in VOID and attributes and "hidden" in _described(attributes)[0].split():
+                close()
             continue
         close()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if depth.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop_to(k)
             continue
         ends = {"p"} | ENDS.get(tag, set())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
-                break
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, *_attributes(m[3])))
-    if at < len(page):
-        text(page[at:].split("<", 1)[0] if "<" in page[at:] and re.match(r"[^<]*<[a-zA-Z/!]", page[at:]) else page[at:])
+        if any(depth.get(e) for e in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in ends:
+                    pop_to(k)
+                    break
+                if stack[k].tag in SCOPE:
+                    break
+        if tag not in VOID and not alone:
+            stack.append(Node(tag, *_described(attributes), stack[-1] if stack else None))
+            depth[tag] = depth.get(tag, 0) + 1
+    text(page[kept:])
     close()
     return out
