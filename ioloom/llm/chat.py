@@ -10,8 +10,9 @@ The template: <|im_start|>role, line feed, content, <|im_end|>, line feed. Insid
 taking one backslash away restores the text.
 
 Defined results: null text, role or reference: empty; null conv_id: a conversation of its own;
-turns are ordered by turn (nulls first), then role and content; repeated rows are repeated turns;
-an empty table gives no conversations. Columns other than the four named are ignored.
+turns are ordered by turn (nulls first), then role and content; repeated rows are repeated turns; very long
+texts and roles with any characters, NUL included, are kept whole; an empty table gives no conversations.
+Columns other than the four named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def _line(c: Column) -> Column:
 
 
 def _unline(c: Column) -> Column:
-    raw = F.replace(unescaped(c), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Both escapes undone from left to right: a doubled backslash is passed over whole."""
+    return F.array_join(F.transform(F.split(unescaped(c), r"\\\\"), lambda piece: F.replace(piece, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 class PartVisitor:
