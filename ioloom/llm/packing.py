@@ -2,11 +2,14 @@
 
 A document of n tokens is cut into n // MAX_LENGTH pieces of MAX_LENGTH and, for the rest, one piece
 for each set bit, longest first. Every piece fills a sequence of its own length, so no sequence holds
-two documents and none is padded; batches are drawn from a bucket of equal lengths.
+two documents and none is padded. Pieces of one length are a bucket: they are written partitioned by length to
+the shared folder, numbered within their bucket, and read back from there; a batch is a range of a bucket.
 
-Defined results: null text is the end id alone; repeated rows are packed as rows of their own; an
-empty table gives no pieces; columns other than id and text are ignored. sequence_id is the row's
-place in its input split, so a task that is run again gives the same ids.
+A piece is numbered in its bucket by the pieces of earlier input splits plus its place among those of its
+own split, which the task that cut it wrote down with it; sequence_id goes through the buckets, shortest first.
+
+Defined results: null text is the end id alone; very long texts are encoded whole; repeated rows are packed as rows of
+their own; an empty table gives no pieces; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ioloom.llm.base import scratch_path
 from ioloom.llm.tokens import encoder
 
 MAX_LENGTH = 1024
@@ -40,16 +45,17 @@ def decompose(n: int, longest: int = MAX_LENGTH) -> Iterator[tuple[int, int]]:
 
 
 def _pieces(batches, path: str, longest: int, with_ids: bool):
-    encode = encoder(path, True).encode
+    encode, part = encoder(path, True).encode, TaskContext.get().partitionId()
+    numbers: dict[int, int] = {}  # pieces so far, by length
     for batch in batches:
-        rows, start, length, crc, total, ids = [], [], [], [], [], []
+        rows, start, length, nth, crc, total, ids = [], [], [], [], [], [], []
 
-        def flush(ids_of=batch.column(0), name=batch.schema.names[0]):
-            columns = [ids_of.take(pa.array(rows, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, crc, total)]]
+        def flush(ids_of=batch.column(0)):
+            columns = [ids_of.take(pa.array(rows, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, nth, crc, total)], pa.array([part] * len(rows), pa.int64())]
             if with_ids:
                 columns.append(pa.array(ids, pa.binary()))
-            out = pa.RecordBatch.from_arrays(columns, names=[name, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-            for column in (rows, start, length, crc, total, ids):
+            out = pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "nth", "ids_crc32", "doc_tokens", "part"] + ["ids"] * with_ids)
+            for column in (rows, start, length, nth, crc, total, ids):
                 column.clear()
             return out
 
@@ -61,23 +67,45 @@ def _pieces(batches, path: str, longest: int, with_ids: bool):
                 rows.append(row)
                 start.append(at)
                 length.append(size)
+                nth.append(numbers.get(size, 0))
+                numbers[size] = nth[-1] + 1
                 crc.append(zlib.crc32(piece))
                 total.append(n)
                 if with_ids:
                     ids.append(piece)
-            if len(rows) >= BATCH_PIECES:
-                yield flush()
+                if len(rows) >= BATCH_PIECES:
+                    yield flush()
         if rows:
             yield flush()
 
 
+def write_buckets(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, with_ids: bool = True) -> None:
+    """Writes the pieces of all documents to path, a folder length=<n> per bucket."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, start bigint, length bigint, nth bigint, ids_crc32 bigint, doc_tokens bigint, part bigint" + ", ids binary" * with_ids
+    pieces = docs.select(id_col, text_col).mapInArrow(lambda batches: _pieces(batches, tokenizer_path, longest, with_ids), schema)
+    # An empty table has no bucket; the file without rows keeps the columns readable.
+    pieces.write.partitionBy("length").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """id, start, length, ids_crc32, doc_tokens, (ids,) bucket_place, sequence_id, offset of every piece at path."""
+    pieces = spark.read.schema(schema).parquet(path)
+    sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    buckets = sizes.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("bucket"))
+    base = sizes.select("length", "part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before")).join(F.broadcast(buckets), "length")
+    placed = pieces.join(base, ["length", "part"])
+    place = F.col("before") + F.col("nth")
+    return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ("ids" in pieces.columns), place.alias("bucket_place"), (F.col("bucket") + place).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, (ids,) sequence_id, offset.
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, (ids,) bucket_place, sequence_id, offset.
 
-    ids, if asked for, are little-endian unsigned 32-bit integers; write them partitioned by length
-    to get one bucket per length.
+    Read back from buckets in the shared folder. ids, if asked for, are little-endian unsigned 32-bit integers.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
-    pieces = docs.select(id_col, text_col).mapInArrow(lambda batches: _pieces(batches, tokenizer_path, longest, with_ids), schema)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    path = scratch_path(docs.sparkSession, "buckets")
+    write_buckets(docs, path, tokenizer_path, id_col, text_col, longest, with_ids)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return read_buckets(docs.sparkSession, path, f"id {kind}, start bigint, nth bigint, ids_crc32 bigint, doc_tokens bigint, part bigint" + ", ids binary" * with_ids + ", length bigint", id_col)
