@@ -7,13 +7,17 @@ radius agrees in some table: no link is lost.
 
 Equal fingerprints are one node. Only nodes that share a table's masked value with another are
 looked at. Within such a bucket a task makes a spanning forest of the links, not all pairs; forests
-have the components of all links. A bucket of more than BUCKET nodes is first dealt by the five
-blocks of its unmasked bits: at most four bits differ, so one of the five blocks is equal. Components
-then follow by alternating star contractions, each round written to the shared folder.
+have the components of all links. A bucket of more than BUCKET nodes is dealt by RADIUS + 1 blocks of the bits in which
+its nodes may differ: at most RADIUS bits differ, so some block is equal. What is too large still is cut into slices, and each pair of
+slices is looked at by a task. Components then follow by alternating star contractions, each round written to the
+shared folder.
 
-Defined results: null and wordless texts have fingerprint zero and are linked like any other; null
-ids take part and have the component of their group (null if no id in it is known); repeated rows
-are in one component; an empty table gives no rows; columns other than id and text are ignored.
+A node is named by the row that would stand for it (smallest id, then smallest text hash) before its fingerprint, so
+the smallest name in a component carries the component's id, and the row to keep, without another grouping.
+
+Defined results: null and wordless texts have fingerprint zero and are linked like any other; very long texts are read
+whole; null ids take part and have the component of their group (null if no id in it is known); repeated rows
+are in one component; an empty table gives no rows; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ioloom.llm.base import written
+from ioloom.llm.base import HOT_KEYS, HOT_ROWS, discarded, salted_join, written
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Nodes of one bucket that a task links directly; larger buckets are divided first.
@@ -62,14 +66,15 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 
 def _fingerprints(batches):
     for batch in batches:
-        found = np.array([fingerprint_of(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["id", "text_hash", "fp"])
+        found = np.array([fingerprint_of(t) for t in batch.column(3).cast(pa.binary()).to_pylist()], np.uint64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], names=["id", "text_hash", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash (of the text as it is), fp (the fingerprint as a signed long)."""
+    """id, text_hash (of the text as it is), row (a number of the row), fp (the fingerprint as a signed long)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("body")).mapInArrow(_fingerprints, f"id {kind}, text_hash bigint, fp bigint")
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("body"))
+    return given.mapInArrow(_fingerprints, f"id {kind}, text_hash bigint, row bigint, fp bigint")
 
 
 def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -114,60 +119,84 @@ def _within(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lambda batches: _linked(batches, radius), "a bigint, b bigint")
 
 
+_signed = lambda m: m - (1 << 64) if m >> 63 else m
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """(t, key, n) of the buckets of more than one node, most having one."""
+    return written(keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp of nodes that have the components of all pairs within the radius."""
-    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m - (1 << 64) if m >> 63 else m).alias("m")) for t, m in enumerate(masks(radius))])
-    keys = nodes.select("fp", F.explode(table).alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    dense = keys.join(shared, ["t", "key"])
-    small = dense.filter(F.col("n") <= BUCKET).select("t", "key", "fp")
-    # Within a large bucket the unmasked bits are dealt into radius + 1 blocks, of which some block is equal.
-    blocks = [[sum(1 << b for b in [i for i in range(64) if not m >> i & 1][k :: radius + 1]) for k in range(radius + 1)] for m in masks(radius)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    block = F.element_at(F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(signed(x)).alias("x")) for k, x in enumerate(row)]) for row in blocks]), F.col("t") + 1)
-    large = dense.filter(F.col("n") > BUCKET).select("t", "key", "fp", F.explode(block).alias("b")).select((F.col("t") + 64 * (1 + F.col("b.k"))).alias("t"), F.xxhash64("key", F.col("fp").bitwiseAND(F.col("b.x"))).alias("key"), "fp")
-    return _within(small.unionAll(large), radius).distinct()
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("m")) for t, m in enumerate(masks(radius))])
+    keys = nodes.select("fp", F.explode(table).alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
+    shared = _shared(keys)
+    found = _within(keys.join(shared.filter(F.col("n") <= BUCKET), ["t", "key"]).select("t", "key", "fp"), radius)
+    large = shared.filter(F.col("n") > BUCKET)
+    if large.limit(1).count():
+        # Within a large bucket the unmasked bits are dealt into radius + 1 blocks, of which some block is equal.
+        blocks = [[sum(1 << b for b in [i for i in range(64) if not m >> i & 1][k :: radius + 1]) for k in range(radius + 1)] for m in masks(radius)]
+        block = F.element_at(F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(x)).alias("x")) for k, x in enumerate(row)]) for row in blocks]), F.col("t") + 1)
+        dealt = keys.join(large.select("t", "key"), ["t", "key"]).select("t", "key", "fp", F.explode(block).alias("b"))
+        dealt = dealt.select((F.col("t") + 64 * (1 + F.col("b.k"))).alias("t"), F.xxhash64("key", F.col("fp").bitwiseAND(F.col("b.x"))).alias("key"), "fp")
+        known = dealt.join(_shared(dealt), ["t", "key"])
+        # What is large still is cut into slices, and every pair of slices is a bucket.
+        slices = F.when(F.col("n") > BUCKET, F.ceil(2 * F.col("n") / BUCKET)).otherwise(1).cast("int")
+        own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
+        pairs = known.select("t", "key", "fp", slices.alias("s")).select("t", "key", "fp", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
+        cut = pairs.select("t", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
+        found = found.unionAll(_within(cut, radius))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of edges (a, b), root being the smallest node reachable.
+    """(node, root) for all nodes of edges (a, b) of any type with an order, root being the smallest node reachable.
 
     Each round links a node's larger neighbours to its smallest one, then its smaller ones; the
     round's edges are written to the shared folder, which cuts lineage. Neighbours are never gathered: a node's
-    smallest neighbour is an aggregate that is joined back.
+    smallest neighbour is an aggregate that is joined back, a hub's rows being spread.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = pairs.join(low, "u")
+    def star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        joined = salted_join(pairs, low, "u", "n", "v", total)
         if large:
             return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionAll(low.filter("u > m").select("u", F.col("m").alias("v"))).distinct()
 
     current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    seen = None
+    seen, total = None, 2 * current.count()
     while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        current = written(star(star(both, True), False), "edges")
+        middle = written(star(both, True, total), "edges")
+        discarded(current)
+        current = written(star(middle, False, total), "edges")
+        discarded(middle)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of docs, and (fp, root, least) of each: its component's smallest fingerprint and its own smallest id."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Fingerprint rows of docs; (fp, n rows, name, root) of each distinct one; the number of rows.
+
+    A name is (id unknown, id, text hash, fp); root is the smallest name in the component.
+    """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = components(links(nodes))
-    return rows, nodes.join(joined, nodes.fp == joined.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    name = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash"))
+    nodes = rows.groupBy("fp").agg(F.count("*").alias("n"), name.alias("k"))
+    nodes = written(nodes.select("fp", "n", F.struct("k.unknown", "k.id", "k.text_hash", "fp").alias("name")), "nodes")
+    named = lambda end: nodes.select(F.col("fp").alias(end), F.col("name").alias(f"{end}_name"))
+    edges = links(nodes).join(named("a"), "a").join(named("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    joined = components(edges).select(F.col("node.fp").alias("fp"), "root")
+    return rows, nodes.join(joined, "fp", "left").select("fp", "n", "name", F.coalesce("root", "name").alias("root")), rows.count()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, fingerprint (16 hex digits), component_id (smallest id reachable) for every document."""
-    rows, rooted = _rooted(docs, id_col, text_col)
-    small = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(small, "root").select("fp", "component_id")
-    out = rows.join(classes, "fp")
+    rows, rooted, total = _rooted(docs, id_col, text_col)
+    out = salted_join(rows, rooted.select("fp", "n", F.col("root.id").alias("component_id")), "fp", "n", "row", total)
     return out.select(F.col("id").alias(id_col), "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -175,13 +204,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each component: that with the smallest id, of equal ids the smallest text hash.
 
     Rows that agree in id and text are one. A group without any known id keeps its smallest text hash.
+    Texts are shuffled once, by the kept keys; rows of a key that many rows repeat are united before that.
     """
-    rows, rooted = _rooted(docs, id_col, text_col)
-    # By root, not by component_id: components may share their smallest id, or have none.
-    first = rows.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", F.col("text_hash").alias("h"))).alias("k"))
-    chosen = first.select(F.col("k.id").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
-    # The join's keys are those of the last step, so the texts are shuffled once.
-    keys = lambda c, h: {"_known": F.coalesce(F.col(c).cast("string"), F.lit("")), "_null": F.col(c).isNull(), "_hash": h}
-    chosen = chosen.select(*[c.alias(n) for n, c in keys("_keep_id", F.col("_keep_hash")).items()])
-    marked = docs.withColumns(keys(id_col, F.xxhash64(text_col)))
-    return marked.join(chosen, list(chosen.columns), "left_semi").dropDuplicates(list(chosen.columns)).select(docs.columns)
+    rows, rooted, total = _rooted(docs, id_col, text_col)
+    kept = rooted.filter("name = root").select(F.coalesce(F.col("root.id").cast("string"), F.lit("")).alias("i"), F.col("root.unknown").alias("u"), F.col("root.text_hash").alias("h"))
+    key = ["i", "u", "h"]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(id_col).isNull().alias("u"), F.xxhash64(text_col).alias("h"))
+    counted = rows.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.col("id").isNull().alias("u"), F.col("text_hash").alias("h")).agg(F.count("*").alias("n"))
+    hot = written(counted.filter(F.col("n") > max(HOT_ROWS, -(-total // HOT_KEYS))).select(*key), "repeated")  # HOT_KEYS rows at most
+    if hot.limit(1).count():
+        repeated = marked.join(F.broadcast(hot), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row", *key)
+        marked = marked.join(F.broadcast(hot), key, "left_anti").unionAll(repeated)
+    return marked.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
