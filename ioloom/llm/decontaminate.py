@@ -5,15 +5,15 @@ item. Patterns of one length share a shift table over blocks of two words: it sa
 search may skip when a block cannot end a pattern. Where the shift is zero, the suffix block's
 bucket names the patterns that may end here, and they are compared directly.
 
-Defined results: null or wordless texts have no words and no hits; a null item text yields no
-pattern; a null item id is listed as the empty string; items that share an id count once; repeated
-documents are judged one by one; an empty benchmark contaminates nothing. Input columns other than
-id and text are ignored, so their names cannot clash.
+Defined results: null or wordless texts have no words and no hits; very long texts are searched whole; a null
+item text yields no pattern; a null item id is listed as the empty string; items that share an id count once; repeated
+documents are judged one by one; an empty benchmark contaminates nothing; an empty table gives no rows. Input columns
+other than id and text are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,6 +93,9 @@ def _covered(spans: list[tuple[int, int]]) -> list[list[int]]:
     return runs
 
 
+_FOUND = "n_words bigint, runs array<struct<first:bigint,last:bigint>>, items array<string>"
+
+
 def _overlap_batch(ids: pa.Array, name: str, n_words: list, runs: list, items: list) -> pa.RecordBatch:
     spans = [[{"first": a, "last": b} for a, b in x] for x in runs]
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=[name, "n_words", "runs", "items"])
@@ -105,7 +108,8 @@ def _unite(batches):
         yield _overlap_batch(batch.column(0), batch.schema.names[0], batch.column(1).to_pylist(), runs, [sorted(set(x)) for x in batch.column(3).to_pylist()])
 
 
-def _search(batches, matcher: Matcher):
+def _search(batches, matcher: Matcher, every: bool):
+    """A row for every document, or for those with a finding."""
     for batch in batches:
         n_words, runs, items = [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -117,36 +121,54 @@ def _search(batches, matcher: Matcher):
             n_words.append(len(words))
             runs.append(_covered(found))
             items.append(sorted(names))
-        yield _overlap_batch(batch.column(0), batch.schema.names[0], n_words, runs, items)
+        out = _overlap_batch(batch.column(0), batch.schema.names[0], n_words, runs, items)
+        yield out if every else out.filter(pa.array([bool(r) for r in runs], pa.bool_()))
+
+
+def _matchers(benchmark: DataFrame, item_col: str, text_col: str, window: int, matcher_bytes: int) -> list[Callable[[], Matcher]]:
+    """What makes the benchmark's matchers, one at a time, each of about matcher_bytes of item texts."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("body"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    n = max(1, -(-size // matcher_bytes))
+    part = lambda k: items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k)
+    return [lambda k=k: Matcher([(r[0], r[1].encode() if r[1] is not None else None) for r in part(k).collect()], window) for k in range(n)]
+
+
+def _findings(rows: DataFrame, key: str, text: str, makers: list[Callable[[], Matcher]]) -> DataFrame:
+    """key, n_words, runs, items of the rows with findings of any matcher, several rows a key where several found some.
+
+    Each block of the benchmark searches rows; its findings, few, are written before the next is compiled.
+    """
+    kind, out = rows.schema[key].dataType.simpleString(), None
+    for make in makers:
+        shared = rows.sparkSession.sparkContext.broadcast(make())
+        one = rows.select(key, text).mapInArrow(lambda batches, shared=shared: _search(batches, shared.value, False), f"`{key}` {kind}, {_FOUND}")
+        one = written(one, "findings")
+        shared.destroy()
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, matcher_bytes: int = MATCHER_BYTES) -> DataFrame:
     """One row per document: id, n_words, runs (hit word spans, last exclusive), items (sorted ids).
 
-    The benchmark's size is measured first. Up to matcher_bytes it is compiled once and broadcast;
-    beyond, its items are dealt into blocks of about that size, each block searches all documents,
-    and a document's findings are united.
+    The benchmark's size is measured first. Up to matcher_bytes it is compiled once and broadcast. Beyond,
+    documents are numbered and written once, every block of items of about that size searches them, and a
+    document's findings are united and joined back by its number.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("body"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // matcher_bytes))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_words bigint, runs array<struct<first:bigint,last:bigint>>, items array<string>"
-    source = docs.select(F.col(id_col), F.col(text_col)) if n_blocks == 1 else docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias(id_col), F.col(text_col))
-    if n_blocks > 1:
-        schema = schema.replace(f"`{id_col}` {id_type}", f"`{id_col}` struct<row:bigint,id:{id_type}>", 1)
-    found = None
-    for k in range(n_blocks):
-        part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == k)
-        matcher = Matcher([(r[0], r[1].encode() if r[1] is not None else None) for r in part.collect()], window)
-        shared = spark.sparkContext.broadcast(matcher)
-        one = source.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value), schema)
-        found = one if found is None else found.unionAll(one)
-    if n_blocks == 1:
-        return found
-    gathered = found.groupBy(F.col(id_col)).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
-    return gathered.select(F.col(id_col)["id"].alias(id_col), "n_words", "runs", "items").mapInArrow(_unite, f"`{id_col}` {id_type}, n_words bigint, runs array<struct<first:bigint,last:bigint>>, items array<string>")
+    makers = _matchers(benchmark, item_col, item_text_col, window, matcher_bytes)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {_FOUND}"
+    if len(makers) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(makers[0]())
+        return docs.select(id_col, text_col).mapInArrow(lambda batches: _search(batches, shared.value, True), schema)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body")), "numbered")
+    found = _findings(rows, "row", "body", makers)
+    gathered = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    gathered = gathered.mapInArrow(_unite, f"row bigint, {_FOUND}").drop("n_words")
+    empty = Matcher([])
+    counted = rows.select(F.struct("row", "id").alias("row"), "body").mapInArrow(lambda batches: _search(batches, empty, True), f"row struct<row:bigint,id:{docs.schema[id_col].dataType.simpleString()}>, {_FOUND}")
+    out = counted.select(F.col("row.row").alias("row"), F.col("row.id").alias(id_col), "n_words").join(gathered, "row", "left")
+    return out.select(id_col, "n_words", *[F.coalesce(c, F.expr(f"cast(array() as {kind})")).alias(c) for c, kind in (("runs", "array<struct<first:bigint,last:bigint>>"), ("items", "array<string>"))])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
@@ -158,27 +180,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", matcher_bytes: int = MATCHER_BYTES) -> DataFrame:
     """docs without its contaminated rows, columns as they were.
 
-    The search runs on the same scan as the filter: the text goes through Python once and no join
-    or shuffle is needed.
+    With one matcher the search runs on the same scan as the filter: the text goes through Python once and no
+    join or shuffle is needed. With more, rows are numbered and written once and the found numbers are dropped.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    kept = docs
-    for k in range(n_blocks := max(1, -(-size // MATCHER_BYTES))):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        matcher = Matcher([(r[0], r[1].encode() if r[1] is not None else None) for r in part.select("item_id", "text").collect()])
-        shared = spark.sparkContext.broadcast(matcher)
-        kept = kept.mapInArrow(lambda batches, shared=shared: _keep_clean(batches, shared.value), kept.schema)
-        if k < n_blocks - 1:  # a worker holds one matcher at a time
-            kept = written(kept, "decontaminated")
-    return kept
-
-
-def _keep_clean(batches, matcher: Matcher):
+    makers = _matchers(benchmark, item_col, item_text_col, WINDOW, matcher_bytes)
+    if len(makers) == 1:
+        shared, at = docs.sparkSession.sparkContext.broadcast(makers[0]()), docs.columns.index(text_col)
+        return docs.mapInArrow(lambda batches: _keep_clean(batches, at, shared.value), docs.schema)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
+    found = _findings(rows.select("row", F.col(f"doc.`{text_col}`").alias("body")), "row", "body", makers)
+    return rows.join(found.select("row"), "row", "left_anti").select("doc.*")
+
+
+def _keep_clean(batches, at: int, matcher: Matcher):
     for batch in batches:
-        texts = batch.column(batch.schema.names.index("text")).cast(pa.binary()).to_pylist()
+        texts = batch.column(at).cast(pa.binary()).to_pylist()
         yield batch.filter(pa.array([next(matcher.spans(words_of(t)), None) is None for t in texts], pa.bool_()))
-
