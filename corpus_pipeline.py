@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept. The first three drop documents, the fourth
 replaces secrets in the text of those that stay, the last cuts them into packed pieces.
+
+Defined results: null and empty texts fail the quality rules and go; very long texts pass every stage whole; documents
+with a null id are kept like others, one of each group of near-duplicates; rows that agree in id and text are one after
+the second stage; an empty documents table gives no pieces; with empty labels the base rules alone judge, and an empty
+benchmark contaminates nothing; further columns are carried through to the last stage, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ioloom.llm import decontaminate, packing, quality_rules, secret_scan, simhash
-from ioloom.llm.base import table, written
+from ioloom.llm.base import discarded, table, written
 from ioloom.llm.queries import tokenizer_path
 
 
@@ -46,6 +51,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            discarded(docs)
+        docs = after
+    pieces = written(STAGES[-1][1](spark, docs, sf_dir), "stage-pieces")
+    discarded(docs)
+    return pieces
