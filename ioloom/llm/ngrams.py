@@ -18,7 +18,9 @@ KINDS = 6
 #: Statistics of a whole text, each as one of 16 steps.
 SHAPES = 6
 #: Characters handled at once, but for a longer single text.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 18
+#: Texts handled at once.
+BLOCK_TEXTS = 512
 
 
 def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
@@ -67,7 +69,7 @@ def _hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def blocks(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
-        if held and size + len(t) > BLOCK_CHARS:
+        if held and (size + len(t) > BLOCK_CHARS or len(held) == BLOCK_TEXTS):
             yield held
             held, size = [], 0
         held.append(t)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ioloom.llm.linear import Sums, descend, sample, sigmoid
-from ioloom.llm.ngrams import KINDS, linear_scores
+from ioloom.llm.ngrams import BLOCK_TEXTS, KINDS, linear_scores
 
 POSITIVES, UNLABELLED = 1500, 3000
 FOLDS, HELD_OUT = 3, 1
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scored(batches, weights: np.ndarray, bias: float):
-    for batch in batches:
+    for batch in (whole.slice(i, BLOCK_TEXTS) for whole in batches for i in range(0, whole.num_rows, BLOCK_TEXTS)):
         texts = batch.column(1).fill_null("").to_pylist()
         z = linear_scores(texts, weights) if weights.shape[1] > 1 else np.zeros(len(texts))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(z + bias))], names=[batch.schema.names[0], "score"])
