@@ -214,5 +214,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hot = written(counted.filter(F.col("n") > max(HOT_ROWS, -(-total // HOT_KEYS))).select(*key), "repeated")  # HOT_KEYS rows at most
     if hot.limit(1).count():
         repeated = marked.join(F.broadcast(hot), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row", *key)
-        marked = marked.join(F.broadcast(hot), key, "left_anti").unionAll(repeated)
+        marked = marked.join(F.broadcast(hot), key, "left_anti").unionByName(repeated)
     return marked.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
