@@ -21,11 +21,11 @@ def module_combos(df: DataFrame, k: int = 15) -> DataFrame:
 
 def workload_types(df: DataFrame) -> DataFrame:
     """df with workload; a later rule overrides earlier ones, so the last is tested first."""
-    small = F.col("POSIX_BYTES_READ") + F.col("POSIX_BYTES_WRITTEN") < 1 << 20
-    learning = (F.col("read_ratio") > 0.8) & (F.col("small_read_ratio") > 0.1)
-    classic = (F.col("has_mpiio") == 1) & (F.col("nprocs") > 1)
-    metadata = F.col("POSIX_STATS") + F.col("POSIX_OPENS") > F.col("POSIX_READS") + F.col("POSIX_WRITES")
-    return df.withColumn("workload", F.when(metadata, "metadata_heavy").when(classic, "traditional_hpc").when(learning, "likely_ai_ml").when(small, "minimal_io").otherwise("other"))
+    total = F.col("POSIX_BYTES_READ") + F.col("POSIX_BYTES_WRITTEN") + F.col("STDIO_BYTES_READ") + F.col("STDIO_BYTES_WRITTEN")
+    minimal, mpi = total < 1e6, F.col("has_mpiio") == 1
+    metadata = (F.col("POSIX_OPENS") > 1000) & (total < 1e8) & ~minimal
+    learning = (F.col("has_stdio") == 1) & ~mpi & (F.col("nprocs") >= 1) & ~minimal
+    return df.withColumn("workload", F.when(metadata, "metadata_heavy").when(mpi & (total > 1e6), "traditional_hpc").when(learning, "likely_ai_ml").when(minimal, "minimal_io").otherwise("other"))
 
 
 def per_month(df: DataFrame, time: str) -> DataFrame:

@@ -30,11 +30,69 @@ def pattern_dims(name: Column) -> Column:
 
 
 def benchmark_of(name: Column) -> Column:
+    """The benchmark that a log's name shows, special names before general ones."""
     low = F.lower(name)
-    chain = F.lit("unknown")
-    for b in ("custom", "hacc", "dlio", "mdtest", "ior"):
-        chain = F.when(low.startswith(f"{b}_"), b).otherwise(chain)
-    return F.when(low.startswith("h5b"), "h5bench").otherwise(chain)
+    has = lambda *words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
+    chain = F.when(has("hacc_io"), "hacc_io").when(has("h5bench", "h5b_"), "h5bench").when(has("mdtest"), "mdtest").when(low.startswith("ior_") | has("_ior_", "_ior "), "ior")
+    return chain.when(has("dlio"), "dlio").when(has("custom_", "imbalance", "balanced"), "custom").otherwise("unknown")
+
+
+def scenario_of(path: Column) -> Column:
+    """The name of a log's run: its file name in lower case, without a job number's suffix and the extension."""
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
+    return F.regexp_replace(F.regexp_replace(base, r"_\d{4,}_\d+.*\.darshan$", ""), r"\.darshan$", "")
+
+
+# Words in a log's name with the labels they show; the first that occurs holds.
+INFERRED = [
+    (["small_posix", "small_direct", "misaligned"], [G]), (["random_small"], [A, G]), (["random_posix"], [A]), (["interface_posix_shared", "interface_mpiio_indep"], [I]), (["file_explosion"], [S]), (["fsync_per_write"], [T]), (["healthy"], [H]),
+    (["meta_shared", "meta_unique", "meta_cross", "deep_tree"], [M]), (["fpp_explosion"], [S]), (["dlio_small"], [G]), (["dlio_ckpt", "checkpoint"], [T]), (["shuffle"], [A]), (["imbalance"], [P]), (["balanced"], [H]),
+]
+
+
+def inferred_dims(path: Column) -> Column:
+    """The labels that words in a log's file name show, an empty array if none."""
+    low = F.lower(F.element_at(F.split(path, "/"), -1))
+    has = lambda words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
+    chain = F.lit(None).cast("array<string>")
+    for words, dims in reversed(INFERRED):
+        chain = F.when(has(words), F.array(*map(F.lit, dims))).otherwise(chain)
+    return F.coalesce(chain, F.expr("cast(array() as array<string>)"))
+
+
+def shown_labels(columns: list[str]) -> dict[str, Column]:
+    """The eight labels that a job's counters show, as 0/1; features that aren't there count as harmless."""
+    at = lambda c, none: F.coalesce(F.col(c), F.lit(none)) if c in columns else F.lit(none)
+    shown = {
+        G: at("small_io_ratio", 0.0) > 0.5, M: at("metadata_time_ratio", 0.0) > 0.3, P: at("rank_bytes_cv", 0.0) > 0.3, A: (at("seq_write_ratio", 1.0) < 0.5) & (at("seq_read_ratio", 1.0) < 0.5),
+        I: (at("is_shared_file", 0) != 0) & (at("nprocs", 1.0) > 4) & ((at("has_mpiio", 0) == 0) | (at("MPIIO_COLL_WRITES", 0.0) == 0)), S: at("num_files", 0.0) > 100, T: (at("write_bw_mb_s", float("inf")) < 10) & (at("POSIX_BYTES_WRITTEN", 0.0) > 1e6),
+    }
+    none = ~F.greatest(*shown.values())
+    return {d: c.cast("int") for d, c in (shown | {H: none}).items()}
+
+
+def relabelled(df: DataFrame) -> DataFrame:
+    """df (engineered features) with the eight labels that its counters show."""
+    return df.withColumns(shown_labels(df.columns))
+
+
+def assigned(df: DataFrame, name: str) -> DataFrame:
+    """df (name and engineered features) with the eight labels and label_source.
+
+    Labels of a known name's pattern hold where they pass verification, the counters' own labels otherwise; a name
+    without a pattern takes the labels that its words show, if any, or the counters' own.
+    """
+    words, own = inferred_dims(F.col(name)), shown_labels(df.columns)
+    source = F.when(F.col("pattern_known") & F.col("verified"), "construction").when(~F.col("pattern_known") & (F.size(words) > 0), "inferred").otherwise("relabelled")
+    out = verified(with_labels(df, name)).withColumn("label_source", source)
+    pick = lambda d: F.when(F.col("label_source") == "construction", F.col(d)).when(F.col("label_source") == "inferred", F.array_contains(words, d).cast("int")).otherwise(own[d])
+    return out.select(*df.columns, *[pick(d).alias(d) for d in DIMENSIONS], "label_source")
+
+
+def label_statistics(df: DataFrame) -> DataFrame:
+    """label_source, dimension, n, pct of the source's rows, in one pass."""
+    row = df.groupBy("label_source").agg(F.count("*").alias("total"), *[F.sum(d).alias(d) for d in DIMENSIONS])
+    return row.unpivot(["label_source", "total"], DIMENSIONS, "dimension", "n").select("label_source", "dimension", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
 
 
 def with_labels(df: DataFrame, name: str) -> DataFrame:

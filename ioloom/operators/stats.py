@@ -110,10 +110,10 @@ def ks_statistic(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def mad_outliers(df: DataFrame, columns: list[str], z: float = 3.0) -> DataFrame:
     """feature, share of values over z scaled absolute deviations from the median (std where the MAD is 0, 0 where that is too)."""
     rows = values(df, columns)
-    mid = rows.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("mid"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    mid = rows.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("mid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     rows = rows.join(F.broadcast(mid), "feature")
     mad = rows.groupBy("feature").agg(F.percentile(F.abs(F.col("value") - F.col("mid")), F.lit(0.5)).alias("mad"))
-    far = F.when(F.col("mad") > 0, F.abs(F.col("value") - F.col("mid")) / (1.4826 * F.col("mad")) > z).when(F.col("std") > 0, F.abs(F.col("value") - F.col("mean")) / F.col("std") > z).otherwise(False)
+    far = F.when(F.col("mad") > 1e-10, F.abs(F.col("value") - F.col("mid")) / (1.4826 * F.col("mad")) > z).when(F.col("std") > 1e-10, F.abs(F.col("value") - F.col("mean")) / F.col("std") > z).otherwise(False)
     return rows.join(F.broadcast(mad), "feature").groupBy("feature").agg(F.avg(far.cast("double")).alias("outlier_ratio"))
 
 

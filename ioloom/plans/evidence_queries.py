@@ -23,21 +23,21 @@ from ioloom.streaming import ingest
 def _lines(spark, sf_dir):
     jobs = surrogate.jobs(spark, sf_dir)
     text = F.array(
-        F.concat(F.lit("# jobid: "), F.col("jobid")), F.concat(F.lit("# uid: "), F.col("uid")), F.concat(F.lit("# start_time: "), F.col("start_time")), F.concat(F.lit("# start_time_asci: x"), F.col("uid")), F.concat(F.lit("# nprocs: "), F.col("nprocs")), F.concat(F.lit("# nprocs: 999"), F.col("uid")),
+        F.concat(F.lit("# jobid: "), F.col("jobid")), F.concat(F.lit("# uid: "), F.col("uid")), F.concat(F.lit("# start_time: "), F.col("start_time")), F.concat(F.lit("# start_time_asci: Mon 10:"), F.col("uid")), F.lit("# darshan log version: 3.41"), F.concat(F.lit("# agg_perf_by_slowest: "), F.col("uid"), F.lit(".25 # MiB/s")), F.concat(F.lit("# nprocs: "), F.col("nprocs")), F.concat(F.lit("# nprocs: 999"), F.col("uid")),
         F.concat(F.lit("# run time: "), F.col("runtime")), F.lit("POSIX module: x ver=4"), F.when(F.col("jobid") % 2 == 0, "MPI-IO module data").otherwise("MPI-IO modules"), F.when(F.col("uid") % 3 == 0, "# mount entry:\t/scratch\tlustre").otherwise("# mount entry:\t/home\tnfs"),
         F.concat(F.lit("total_POSIX_READS: "), F.col("uid")), F.concat(F.lit("total_POSIX_F_READ_TIME: 1.5e"), F.col("nprocs") % 3), F.concat(F.lit("total_POSIX_READS: "), F.col("nprocs")), F.concat(F.lit("Max Write: "), F.col("uid"), F.lit(".5 MiB/s")), F.concat(F.lit("done, exit code: "), F.col("uid") % 2),
     )
     return jobs.select(F.concat(F.lit("log"), F.col("jobid")).alias("file"), F.posexplode(text).alias("line_no", "value"))
 
 
-@register("A1_headers", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, jobid, uid, start_time, nprocs, {q6('runtime')} AS run_time FROM jobs")
+@register("A1_headers", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, jobid, uid, start_time, CAST(0 AS BIGINT) AS end_time, CAST('999' || uid AS BIGINT) AS nprocs, {q6('runtime')} AS run_time, '3.41' AS log_version, 'Mon 10:' || uid AS start_time_str FROM jobs")
 def a1(spark, sf_dir):
-    return text_logs.headers(_lines(spark, sf_dir)).select("file", "jobid", "uid", "start_time", "nprocs", *rounded("run_time"))
+    return text_logs.headers(_lines(spark, sf_dir)).select("file", "jobid", "uid", "start_time", "end_time", "nprocs", *rounded("run_time"), "log_version", "start_time_str")
 
 
-@register("A2_A5_totals_pivot", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, CAST(nprocs AS DOUBLE) AS POSIX_READS, 1.5 * pow(10, nprocs % 3) AS POSIX_F_READ_TIME FROM jobs")
+@register("A2_A5_totals_pivot", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, CAST(nprocs AS DOUBLE) AS POSIX_READS, 1.5 * pow(10, nprocs % 3) AS POSIX_F_READ_TIME, uid + 0.25 AS agg_perf_mib_s FROM jobs")
 def a2(spark, sf_dir):
-    return text_logs.pivot_totals(text_logs.totals(_lines(spark, sf_dir)), ["POSIX_READS", "POSIX_F_READ_TIME"])
+    return text_logs.pivot_totals(text_logs.totals(_lines(spark, sf_dir)), ["POSIX_READS", "POSIX_F_READ_TIME", "agg_perf_mib_s"])
 
 
 @register("A3_A4_modules_mounts", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, CASE WHEN jobid % 2 = 0 THEN 'MPI-IO,POSIX' ELSE 'POSIX' END AS modules, uid % 3 = 0 AS uses_lustre, CASE WHEN uid % 3 = 0 THEN '/scratch' END AS lustre_mount FROM jobs")
@@ -58,7 +58,7 @@ _DIMS_SQL = {"access_granularity": "0, 1, 7", "access_pattern": "1", "metadata_i
 _INTENDED = ", ".join(f"CAST(_jobid % 9 IN ({_DIMS_SQL[d]}) AS INT) AS {d}" for d in DIMENSIONS)
 
 
-@register("F1_F7_pattern_labels", f"WITH {sql.JOBS} SELECT jobid, CASE jobid % 9 WHEN 2 THEN 'mdtest' WHEN 4 THEN 'custom' WHEN 5 THEN 'h5bench' WHEN 6 THEN 'unknown' WHEN 7 THEN 'hacc' WHEN 8 THEN 'custom' ELSE 'ior' END AS benchmark, {_INTENDED.replace('_jobid', 'jobid')}, jobid % 9 <> 6 AS pattern_known FROM jobs")
+@register("F1_F7_pattern_labels", f"WITH {sql.JOBS} SELECT jobid, CASE jobid % 9 WHEN 2 THEN 'mdtest' WHEN 4 THEN 'custom' WHEN 5 THEN 'h5bench' WHEN 6 THEN 'unknown' WHEN 7 THEN 'unknown' WHEN 8 THEN 'custom' ELSE 'ior' END AS benchmark, {_INTENDED.replace('_jobid', 'jobid')}, jobid % 9 <> 6 AS pattern_known FROM jobs")
 def f1(spark, sf_dir):
     named = surrogate.jobs(spark, sf_dir).select("jobid", F.expr(_NAME).alias("name"))
     return groundtruth.with_labels(named, "name").select("jobid", groundtruth.benchmark_of(F.col("name")).alias("benchmark"), *DIMENSIONS, "pattern_known")
@@ -131,7 +131,7 @@ def m18(spark, sf_dir):
 _R = f"r AS ({surrogate.RUNS_SQL.format(orders='orders')})"
 _W = "PARTITION BY workload, model, run_id ORDER BY iteration"
 _PROGRESS = f"""{_R}, b AS (SELECT *, greatest(coalesce(max(speedup) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1), 1) AS best_, lag(speedup) OVER ({_W}) AS last_, first_value(bandwidth) OVER ({_W}) AS base_ FROM r),
-p AS (SELECT workload, model, run_id, iteration, speedup, open_dims, greatest(best_, speedup) AS best, speedup > best_ AS is_new_best, bandwidth < 0.9 * base_ AND NOT speedup > best_ AS regressed, coalesce(iteration > 0 AND executed AND NOT rollback AND last_ > 0 AND abs(speedup - last_) < 0.05 * last_, false) AS plateau FROM b)"""
+p AS (SELECT workload, model, run_id, iteration, speedup, open_dims, greatest(best_, speedup) AS best, speedup > best_ AS is_new_best, bandwidth < 0.9 * base_ AND NOT speedup > best_ AS regressed, coalesce(iteration > 0 AND executed AND NOT rollback AND abs(speedup - coalesce(last_, 1)) / greatest(coalesce(last_, 1), 0.001) < 0.05, false) AS plateau FROM b)"""
 
 
 @register("N4_N6_run_progress", f"WITH {_PROGRESS} SELECT workload, model, run_id, iteration, best, is_new_best, regressed, plateau FROM p")
@@ -155,10 +155,12 @@ def n8(spark, sf_dir):
     return runs.summarize(runs.outcomes(surrogate.runs(spark, sf_dir)), "workload", "model").select("workload", "model", "n", *rounded("mean", "std", "median"), "min", "max", *rounded("geo_mean", "harmonic_mean"), "improved")
 
 
-@register("N1_pair_speedups", "WITH x AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice) END) AS bad, max(CASE WHEN o_orderstatus = 'O' THEN floor(o_totalprice) END) AS good FROM orders GROUP BY o_custkey) SELECT o_custkey, CAST(bad AS BIGINT) AS bad, CAST(good AS BIGINT) AS good, CASE WHEN good / bad IS NULL THEN 'incomplete' WHEN round(good / bad, 2) > 1 THEN 'improved' ELSE 'not improved' END AS status FROM x")
+@register("N1_pair_speedups", """WITH x AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice) % 1000 END) AS bad, max(CASE WHEN o_orderstatus = 'O' THEN floor(o_totalprice) % 1000 END) AS good FROM orders GROUP BY o_custkey),
+y AS (SELECT *, (CASE WHEN good = 0 THEN 0.001 ELSE CAST(good AS DOUBLE) END) / (CASE WHEN bad = 0 THEN 0.001 ELSE CAST(bad AS DOUBLE) END) AS s FROM x)
+SELECT o_custkey, CAST(bad AS BIGINT) AS bad, CAST(good AS BIGINT) AS good, round(s, 2) AS speedup, CASE WHEN s IS NULL THEN 'incomplete' ELSE 'validated' END AS status FROM y""")
 def n1(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "bad").when(F.col("o_orderstatus") == "O", "good").alias("kind"), F.floor("o_totalprice").alias("bw"))
-    return runs.pair_speedups(o, "o_custkey", "kind", "bw").select("o_custkey", "bad", "good", "status")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "bad").when(F.col("o_orderstatus") == "O", "good").alias("kind"), (F.floor("o_totalprice") % 1000).alias("bw"))
+    return runs.pair_speedups(o, "o_custkey", "kind", "bw")
 
 
 @register("N3_flatten_runs", f"WITH {_R} SELECT workload, model, run_id, iteration, speedup FROM r")
@@ -167,10 +169,10 @@ def n3(spark, sf_dir):
     return runs.flatten(whole).select(*runs.RUN, "iteration", "speedup")
 
 
-@register("N14_size_strings", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 1048576 ELSE p_size END AS bytes FROM part")
+@register("N14_size_strings", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 1048576 WHEN 2 THEN p_size WHEN 3 THEN CAST(floor((p_size + 0.3) * 1073741824.0) AS BIGINT) END AS bytes FROM part")
 def n14(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit("k"), F.lit(" M"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit("k"), F.lit("M "), F.lit(""), F.lit(".3G"), F.lit("kb")), (F.col("p_partkey") % 5 + 1).cast("int")))
     return part.select("p_partkey", runs.size_bytes(text).alias("bytes"))
 
 
@@ -214,10 +216,16 @@ def k17(spark, sf_dir):
     return models.majority_baseline(labelled(spark, sf_dir), DIMENSIONS)
 
 
-@register("K18_percentile_baseline", f"WITH {sql.ENGINEERED}, q AS (SELECT quantile_cont(small_io_ratio, 0.9) AS a, quantile_cont(seq_read_ratio, 0.1) AS b FROM engineered WHERE _jobid % 4 <> 0) SELECT _jobid, CAST(small_io_ratio > a AS INT) AS pred_access_granularity, CAST(seq_read_ratio < b AS INT) AS pred_access_pattern FROM engineered, q WHERE _jobid % 4 = 0")
+_HIGH = {"access_granularity": "small_io_ratio small_read_ratio small_write_ratio", "metadata_intensity": "metadata_time_ratio opens_per_op stats_per_op", "throughput_utilization": "fsync_ratio total_bw_mb_s"}
+_LOWER = {"access_pattern": "seq_read_ratio seq_write_ratio", "interface_choice": "collective_ratio"}
+_CUTS = ", ".join(f"quantile_cont({f}, {q}) AS q_{f}" for hints, q in ((_HIGH, 0.9), (_LOWER, 0.1)) for fs in hints.values() for f in fs.split())
+_PREDS = ", ".join(f"CAST({' OR '.join(f'{f} {op} q_{f}' for f in fs.split())} AS INT) AS pred_{d}" for hints, op in ((_HIGH, ">"), (_LOWER, "<")) for d, fs in hints.items())
+
+
+@register("K18_percentile_baseline", f"WITH {sql.ENGINEERED}, q AS (SELECT {_CUTS} FROM engineered WHERE _jobid % 4 <> 0) SELECT _jobid, {_PREDS} FROM engineered, q WHERE _jobid % 4 = 0")
 def k18(spark, sf_dir):
     e = engineered(spark, sf_dir)
-    return models.percentile_baseline(e.filter("_jobid % 4 <> 0"), e.filter("_jobid % 4 = 0"), {"access_granularity": ("small_io_ratio", False), "access_pattern": ("seq_read_ratio", True)}, "_jobid")
+    return models.percentile_baseline(e.filter("_jobid % 4 <> 0"), e.filter("_jobid % 4 = 0"), "_jobid")
 
 
 # ---- streams

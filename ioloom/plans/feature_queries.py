@@ -92,9 +92,9 @@ def g13(spark, sf_dir):
     return stats.ks_statistic(df.filter("_jobid % 3 = 0"), df.filter("_jobid % 3 <> 0"), COLS).select("feature", *rounded("ks"))
 
 
-@register("G14_mad_outliers", f"""{_E}, long AS ({_long()}), m AS (SELECT feature, quantile_cont(value, 0.5) AS mid, avg(value) AS mean, stddev_pop(value) AS sd FROM long GROUP BY feature),
+@register("G14_mad_outliers", f"""{_E}, long AS ({_long()}), m AS (SELECT feature, quantile_cont(value, 0.5) AS mid, avg(value) AS mean, stddev_samp(value) AS sd FROM long GROUP BY feature),
 d AS (SELECT l.feature, value, mid, mean, sd, abs(value - mid) AS dev FROM long l JOIN m ON l.feature = m.feature), k AS (SELECT feature, quantile_cont(dev, 0.5) AS mad FROM d GROUP BY feature)
-SELECT d.feature, {q6('avg(CASE WHEN mad > 0 THEN CAST(dev / (1.4826 * mad) > 3 AS INT) WHEN sd > 0 THEN CAST(abs(value - mean) / sd > 3 AS INT) ELSE 0 END)')} AS outlier_ratio FROM d JOIN k ON d.feature = k.feature GROUP BY d.feature""")
+SELECT d.feature, {q6('avg(CASE WHEN mad > 1e-10 THEN CAST(dev / (1.4826 * mad) > 3 AS INT) WHEN sd > 1e-10 THEN CAST(abs(value - mean) / sd > 3 AS INT) ELSE 0 END)')} AS outlier_ratio FROM d JOIN k ON d.feature = k.feature GROUP BY d.feature""")
 def g14(spark, sf_dir):
     return stats.mad_outliers(feats(spark, sf_dir), COLS).select("feature", *rounded("outlier_ratio"))
 
@@ -165,7 +165,7 @@ def i3(spark, sf_dir):
     return characterize.module_combos(raw(spark, sf_dir))
 
 
-@register("I5_workload_types", f"""{_E} SELECT CASE WHEN POSIX_STATS + POSIX_OPENS > POSIX_READS + POSIX_WRITES THEN 'metadata_heavy' WHEN has_mpiio = 1 AND nprocs > 1 THEN 'traditional_hpc' WHEN read_ratio > 0.8 AND small_read_ratio > 0.1 THEN 'likely_ai_ml' WHEN POSIX_BYTES_READ + POSIX_BYTES_WRITTEN < 1048576 THEN 'minimal_io' ELSE 'other' END AS workload, count(*) AS n FROM engineered GROUP BY 1""")
+@register("I5_workload_types", f"""{_E} SELECT CASE WHEN POSIX_OPENS > 1000 AND total < 1e8 AND total >= 1e6 THEN 'metadata_heavy' WHEN has_mpiio = 1 AND total > 1e6 THEN 'traditional_hpc' WHEN has_stdio = 1 AND has_mpiio = 0 AND nprocs >= 1 AND total >= 1e6 THEN 'likely_ai_ml' WHEN total < 1e6 THEN 'minimal_io' ELSE 'other' END AS workload, count(*) AS n FROM (SELECT *, POSIX_BYTES_READ + POSIX_BYTES_WRITTEN + STDIO_BYTES_READ + STDIO_BYTES_WRITTEN AS total FROM engineered) t GROUP BY 1""")
 def i5(spark, sf_dir):
     return characterize.workload_types(engineered(spark, sf_dir)).groupBy("workload").agg(F.count("*").alias("n"))
 

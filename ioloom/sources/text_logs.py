@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ioloom.functions.counters import ALL_COUNTERS
 
-KEYS = {"jobid": "bigint", "uid": "bigint", "nprocs": "bigint", "start_time": "bigint", "end_time": "bigint", "run time": "double", "log version": "string"}
+# Header keys as the logs write them, with the column, type and value without such a line.
+KEYS = {
+    "jobid": ("jobid", "bigint", "0"), "uid": ("uid", "bigint", "0"), "nprocs": ("nprocs", "bigint", "1"), "start_time": ("start_time", "bigint", "0"), "end_time": ("end_time", "bigint", "0"),
+    "run time": ("run_time", "double", "0D"), "darshan log version": ("log_version", "string", "''"), "start_time_asci": ("start_time_str", "string", "''"),
+}
 
 
 def read_lines(spark, path: str) -> DataFrame:
@@ -17,17 +21,21 @@ def read_lines(spark, path: str) -> DataFrame:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """file and the header keys (# key: value), the first line of a key holding."""
+    """file and the header keys (# key: value), the last line of a key holding; what isn't a number counts as 0."""
     key, value = F.trim(F.regexp_extract("value", r"^#\s*([^:]+):", 1)), F.trim(F.regexp_extract("value", r"^#\s*[^:]+:\s*(.*)$", 1))
     rows = lines.filter(F.col("value").startswith("#")).select("file", "line_no", key.alias("key"), value.alias("v")).filter(F.col("key").isin(*KEYS))
-    pick = lambda k, t: F.expr(f"try_cast(min_by(CASE WHEN key = '{k}' THEN v END, CASE WHEN key = '{k}' THEN line_no END) AS {t})").alias(k.replace(" ", "_"))
-    return rows.groupBy("file").agg(*[pick(k, t) for k, t in KEYS.items()])
+    last = lambda k: f"max_by(v, CASE WHEN key = '{k}' THEN line_no END)"
+    pick = lambda k, t, none: f"CASE WHEN count_if(key = '{k}') = 0 THEN {none} ELSE " + (last(k) if t == "string" else f"coalesce(try_cast({last(k)} AS {t}), 0)") + " END"
+    return rows.groupBy("file").agg(*[F.expr(pick(k, t, none)).alias(name) for k, (name, t, none) in KEYS.items()])
 
 
 def totals(lines: DataFrame) -> DataFrame:
-    """file, counter, value of the lines total_<COUNTER>: <number>."""
-    pattern = r"^total_(\w+):\s+(-?\d+\.?\d*(?:e[+-]?\d+)?)"
-    rows = lines.select("file", "line_no", F.regexp_extract("value", pattern, 1).alias("counter"), F.regexp_extract("value", pattern, 2).alias("v")).filter("counter <> ''")
+    """file, counter, value of the lines total_<COUNTER>: <number>, and of agg_perf_by_slowest as agg_perf_mib_s; the last line holds."""
+    number = r"(-?\d+\.?\d*(?:e[+-]?\d+)?)"
+    part = lambda pattern, i: F.nullif(F.regexp_extract(F.trim("value"), pattern, i), F.lit(""))
+    total, speed = rf"^total_(\w+):\s+{number}", r"agg_perf_by_slowest:\s+(-?\d+\.?\d*)"
+    counter = F.coalesce(part(total, 1), F.when(part(speed, 1).isNotNull(), "agg_perf_mib_s"))
+    rows = lines.select("file", "line_no", counter.alias("counter"), F.coalesce(part(total, 2), part(speed, 1)).alias("v")).filter("counter is not null")
     return rows.groupBy("file", "counter").agg(F.max_by(F.col("v").cast("double"), "line_no").alias("value"))
 
 
