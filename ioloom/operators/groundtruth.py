@@ -77,16 +77,17 @@ def relabelled(df: DataFrame) -> DataFrame:
 
 
 def assigned(df: DataFrame, name: str) -> DataFrame:
-    """df (name and engineered features) with the eight labels and label_source.
+    """df (name and engineered features) with the eight labels, label_source and label_verified.
 
-    Labels of a known name's pattern hold where they pass verification, the counters' own labels otherwise; a name
-    without a pattern takes the labels that its words show, if any, or the counters' own.
+    The labels of a known name's pattern hold where they pass verification (construction), the counters' own
+    labels otherwise (relabeled); a name without a pattern takes the labels that its words show (inferred). healthy is then
+    what no other label denies.
     """
     words, own = inferred_dims(F.col(name)), shown_labels(df.columns)
-    source = F.when(F.col("pattern_known") & F.col("verified"), "construction").when(~F.col("pattern_known") & (F.size(words) > 0), "inferred").otherwise("relabelled")
+    source = F.when(~F.col("pattern_known"), "inferred").when(F.col("verified"), "construction").otherwise("relabeled")
     out = verified(with_labels(df, name)).withColumn("label_source", source)
     pick = lambda d: F.when(F.col("label_source") == "construction", F.col(d)).when(F.col("label_source") == "inferred", F.array_contains(words, d).cast("int")).otherwise(own[d])
-    return out.select(*df.columns, *[pick(d).alias(d) for d in DIMENSIONS], "label_source")
+    return close_healthy(out.select(*df.columns, *[pick(d).alias(d) for d in DIMENSIONS], "label_source", (F.col("label_source") != "relabeled").alias("label_verified")))
 
 
 def label_statistics(df: DataFrame) -> DataFrame:

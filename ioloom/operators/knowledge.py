@@ -46,10 +46,45 @@ def json_in_text(text: Column, schema: str) -> Column:
 
 
 def groundedness(responses: DataFrame) -> DataFrame:
-    """model, n_recommendations, grounded share of those citing a retrieved entry. responses: model, cited (comma list), retrieved."""
-    names = F.filter(F.transform(F.split(F.coalesce("cited", F.lit("")), ","), F.trim), lambda x: x != "")
-    hit = F.exists(names, lambda c: F.exists("retrieved", lambda e: F.contains(c, e) | F.contains(e, c)))
-    return responses.select("model", hit.alias("hit")).groupBy("model").agg(F.count("*").alias("n_recommendations"), F.avg(F.col("hit").cast("double")).alias("grounded"))
+    """model, n_recommendations, n_grounded, grounded share of those whose citation names a retrieved entry. responses: model, cited, retrieved (ids)."""
+    hit = F.exists("retrieved", lambda e: F.contains(F.coalesce("cited", F.lit("")), e))
+    return responses.select("model", F.coalesce(hit, F.lit(False)).alias("hit")).groupBy("model").agg(F.count("*").alias("n_recommendations"), F.count_if("hit").alias("n_grounded"), F.avg(F.col("hit").cast("double")).alias("grounded"))
+
+
+#: The checks of a recommendation's claims.
+CLAIMS = ["dimension_match", "fix_type_match", "code_pattern_match", "api_change_match", "speedup_plausible"]
+
+
+def claim_statistics(checked: DataFrame) -> DataFrame:
+    """Per model: recommendations in all, cited and not, the share with a valid citation, each claim's share among the
+    cited, and claim_groundedness, the claims' mean. checked: model, has_citation, citation_valid and CLAIMS as booleans."""
+    total, cited = F.greatest(F.count("*"), F.lit(1)), F.greatest(F.count_if("has_citation"), F.lit(1))
+    held = {c: F.count_if(F.coalesce(c, F.lit(False))) for c in CLAIMS}
+    share = lambda n, of: F.round(n / of, 4)
+    return checked.groupBy("model").agg(
+        F.count("*").alias("n_recs_total"), F.count_if("has_citation").alias("n_recs_cited"), F.count_if(~F.coalesce("has_citation", F.lit(False))).alias("n_recs_uncited"), share(F.count_if(F.coalesce("citation_valid", F.lit(False))), total).alias("citation_groundedness"),
+        *[share(n, cited).alias(f"{c}_rate") for c, n in held.items()], share(sum(held.values(), F.lit(0)), 5 * cited).alias("claim_groundedness"),
+    )
+
+
+def canonical_fixes(kb: DataFrame) -> DataFrame:
+    """dimension, fix: of the first entry (by ordinal) that lists the dimension, its fix for it, else its first fix.
+
+    kb: ordinal, dims, fixes (array of structs with dimension). Entries are aggregated by dimension, never gathered.
+    """
+    first = kb.select("ordinal", "fixes", F.explode("dims").alias("dimension")).groupBy("dimension").agg(F.min_by("fixes", "ordinal").alias("fixes"))
+    own = F.filter("fixes", lambda f: f["dimension"] == F.col("dimension"))
+    return first.select("dimension", F.coalesce(F.get(own, F.lit(0)), F.get("fixes", F.lit(0))).alias("fix"))
+
+
+def token_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
+    """model, cost in USD (4 places) of tokens_in and tokens_out by the model's rates for a million; 1 and 3 for a model without rates.
+
+    rates: model, rate_in, rate_out, a row a model; usage is summed by model before the join.
+    """
+    sums = usage.groupBy("model").agg(F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+    cost = (F.col("i") * F.coalesce("rate_in", F.lit(1.0)) + F.col("o") * F.coalesce("rate_out", F.lit(3.0))) / 1e6
+    return sums.join(rates, "model", "left").select("model", F.round(cost, 4).alias("cost"))
 
 
 def cache_key(*parts: Column) -> Column:

@@ -145,3 +145,18 @@ def bootstrap(predictions: DataFrame, dims: list[str], replicates: int = 1000, s
 def compare_runs(old: DataFrame, new: DataFrame, key: str, metric: str) -> DataFrame:
     """key, old and new value of metric and their difference, keys of either run kept."""
     return old.select(key, F.col(metric).alias("old")).join(new.select(key, F.col(metric).alias("new")), key, "full_outer").select(key, "old", "new", (F.col("new") - F.col("old")).alias("delta"))
+
+
+def agreement_buckets(df: DataFrame, rule_healthy: str, detected: str) -> DataFrame:
+    """rule_bottleneck, model_bottleneck, n: jobs by whether the rules and the model (an array of dimensions) see any bottleneck."""
+    seen = F.exists(detected, lambda d: d != "healthy")
+    return df.select((~F.col(rule_healthy)).alias("rule_bottleneck"), seen.alias("model_bottleneck")).groupBy("rule_bottleneck", "model_bottleneck").agg(F.count("*").alias("n"))
+
+
+def leaderboard(predictions: DataFrame, dims: list[str], system: str, run: str) -> DataFrame:
+    """One row per system, its newest run: micro and macro F1, Hamming loss, subset accuracy, n. Runs of a system are never mixed."""
+    newest = predictions.groupBy(system).agg(F.max(run).alias(run))
+    last = predictions.join(newest, [system, run], "left_semi")
+    wrong = sum((F.col(f"gt_{d}") != F.col(f"pred_{d}")).cast("int") for d in dims)
+    rows = last.groupBy(system).agg(F.count("*").alias("n"), (F.sum(wrong) / (F.count("*") * len(dims))).alias("hamming_loss"), F.avg((wrong == 0).cast("double")).alias("subset_accuracy"))
+    return overall(last, dims, [system]).select(system, "micro_f1", "macro_f1").join(rows, system)

@@ -86,3 +86,21 @@ def code_rates(labels: DataFrame) -> DataFrame:
     row = labels.agg(F.count("*").alias("total"), *[F.sum(c).alias(c) for c in CODES])
     severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
     return row.unpivot(["total"], CODES, "code", "n").select("code", severity[F.col("code")].alias("severity"), "n", (F.col("n") / F.col("total")).alias("rate")).orderBy(F.desc("n"), "code")
+
+
+# The flags of a six-rule set of which any one sets a dimension; other dimensions are never set.
+FLAGS_OF = {"access_granularity": ["small_reads", "small_writes"], "metadata_intensity": ["excessive_metadata_access"], "parallelism_efficiency": ["operation_imbalance", "size_imbalance"], "access_pattern": ["random_operations"]}
+
+
+def from_flags(flags: DataFrame, key: str) -> DataFrame:
+    """key and the eight dimensions from a table of rule flags (a boolean column each; missing ones are off)."""
+    on = lambda f: F.coalesce(F.col(f), F.lit(False)) if f in flags.columns else F.lit(False)
+    dims = {d: F.greatest(*[on(f) for f in FLAGS_OF.get(d, [])], F.lit(False), F.lit(False)) for d in DIMENSIONS[:-1]}
+    return flags.select(key, *[c.cast("int").alias(d) for d, c in dims.items()], (~F.greatest(*dims.values())).cast("int").alias("healthy"))
+
+
+def code_agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """code, n_both, n_ours, n_theirs, agreement: fired codes (jobid, code) of two tools, over the jobs that either knows."""
+    both = ours.select("jobid", "code").distinct().withColumn("a", F.lit(1)).join(theirs.select("jobid", "code").distinct().withColumn("b", F.lit(1)), ["jobid", "code"], "full_outer")
+    n = both.groupBy("code").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), F.count_if(F.col("b").isNull()).alias("n_ours"), F.count_if(F.col("a").isNull()).alias("n_theirs"))
+    return n.select("*", (F.col("n_both") / (F.col("n_both") + F.col("n_ours") + F.col("n_theirs"))).alias("agreement"))

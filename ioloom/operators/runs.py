@@ -82,7 +82,7 @@ def workload_metrics(runs: DataFrame) -> DataFrame:
     valid = lambda c: F.when(ok, F.col(c))
     out = runs.groupBy("workload", "model").agg(
         F.count_if(ok).alias("n_valid"), F.count("*").alias("n_total"), some(F.avg(v)).alias("mean"), some(F.stddev_pop(v)).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.exp(F.avg(F.log(F.greatest(v, F.lit(0.01))))).alias("geo_mean"), some(F.avg(valid("iterations"))).alias("mean_iterations"), some(F.avg(valid("cost"))).alias("mean_cost"), F.sum(valid("cost")).alias("total_cost"),
+        F.exp(F.avg(F.when(ok, F.log(F.greatest(v, F.lit(0.01)))))).alias("geo_mean"), some(F.avg(valid("iterations"))).alias("mean_iterations"), some(F.avg(valid("cost"))).alias("mean_cost"), F.sum(valid("cost")).alias("total_cost"),
         F.array_sort(F.collect_set("status")).alias("statuses"),
     )
     return out

@@ -66,3 +66,45 @@ def tool_results(lines: DataFrame) -> DataFrame:
     """file and each result, the last line of a kind holding."""
     rows = lines.select("file", "line_no", *[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).alias(n) for n, p in TOOL_PATTERNS.items()])
     return rows.groupBy("file").agg(*[F.max_by(F.col(n).cast("double"), F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in TOOL_PATTERNS])
+
+
+def path_parts(path) -> dict:
+    """Columns of a log's path: log_date of Darshan_Logs/<y>/<m>/<d>/, the job id and rank of _id<job>-<rank>_, null where absent."""
+    part = lambda pattern, i: F.regexp_extract(path, pattern, i).try_cast("bigint")
+    day, ids = r"Darshan_Logs/(\d{4})/(\d{1,2})/(\d{1,2})/", r"_id(\d+)-(\d+)_"
+    date = F.format_string("%04d-%02d-%02d", part(day, 1), part(day, 2), part(day, 3))
+    return {"log_date": F.when(part(day, 1).isNotNull(), date), "job_id": part(ids, 1), "rank": part(ids, 2)}
+
+
+def by_job(logs: DataFrame, path: str) -> DataFrame:
+    """logs without probes (_lscpu_, _uname_), with job: the id in _id<job>-, else the file's name."""
+    base = F.element_at(F.split(path, "/"), -1)
+    found = F.nullif(F.regexp_extract(base, r"_id(\d+)-", 1), F.lit(""))
+    return logs.filter(~base.rlike("_lscpu_|_uname_")).withColumn("job", F.coalesce(found, base))
+
+
+def job_labels(lines: DataFrame) -> DataFrame:
+    """file, scenario (its name without _<job>.out) and label: what follows Label: in the first such line."""
+    line = F.trim("value")
+    label = F.trim(F.element_at(F.split(line, "Label:"), -1))
+    rows = lines.select("file", "line_no", F.when(line.startswith("Label:"), label).alias("label"))
+    scenario = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"_\d+\.out$", "")
+    return rows.groupBy("file").agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("line_no"))).alias("label")).select("file", scenario.alias("scenario"), "label")
+
+
+def run_timing(lines: DataFrame) -> DataFrame:
+    """file, exit_code, started, ended (epoch seconds): the last line of each of 'Exit code:', 'Start:' and 'End:'."""
+    rows = lines.select("file", "line_no", *[F.regexp_extract("value", rf"(?i)^{k}:\s*(-?\d+)", 1).try_cast("bigint").alias(n) for n, k in (("exit_code", "exit code"), ("started", "start"), ("ended", "end"))])
+    return rows.groupBy("file").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in ("exit_code", "started", "ended")])
+
+
+def missing_chunks(found: DataFrame, chunk: str, expected: int) -> DataFrame:
+    """The chunk numbers 0 to expected - 1 that found doesn't hold."""
+    return found.sparkSession.range(expected).select(F.col("id").alias(chunk)).join(found.select(chunk).distinct(), chunk, "left_anti")
+
+
+def inventory(files: DataFrame, path: str, size: str) -> DataFrame:
+    """log_date, n_files, bytes, a row for every day from the first to the last, days without logs as 0."""
+    days = files.select(F.to_date(path_parts(F.col(path))["log_date"]).alias("log_date"), F.col(size).alias("bytes")).filter("log_date is not null").groupBy("log_date").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+    span = days.agg(F.sequence(F.min("log_date"), F.max("log_date")).alias("d")).select(F.explode("d").alias("log_date"))
+    return span.join(days, "log_date", "left").fillna(0)
