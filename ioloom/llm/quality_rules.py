@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ioloom.llm import tokens
 from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import BLOCK_TEXTS, KINDS, linear_scores
 
@@ -111,6 +112,7 @@ _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def _rows(batches, at: int, model: QualityModel | None, keep_from: float):
     """(batch, its texts' judgement columns) of each batch; at: the text's column."""
+    tokens.forget()
     for batch in (whole.slice(i, BLOCK_TEXTS) for whole in batches for i in range(0, whole.num_rows, BLOCK_TEXTS)):
         column = batch.column(at).fill_null("")
         texts, raws = column.to_pylist(), column.cast(pa.binary()).to_pylist()

@@ -84,3 +84,8 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path, spaced)
+
+
+def forget() -> None:
+    """Gives the words back in a worker process that goes on to other work."""
+    encoder.cache_clear()
