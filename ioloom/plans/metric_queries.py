@@ -87,12 +87,13 @@ def ranking(spark, sf_dir):
     return metrics.ranking(surrogate.predictions(spark, sf_dir), DIMS).select("dim", *rounded("auc_roc", "auc_pr", "mean_positive", "mean_negative"), "signal")
 
 
-_GRID = [0.1, 0.3, 0.5, 0.7, 0.9]
-
-
-@register("L18_left_out_threshold")
+@register("L18_left_out_threshold", f"""WITH {_LONG}, g AS (SELECT unnest(generate_series(1, 99)) / 100.0 AS t), c AS (SELECT dim, t, sum(gt * CAST(prob >= t AS INT)) AS tp, sum(CAST(prob >= t AS INT)) AS p, sum(gt) AS g FROM long, g GROUP BY dim, t),
+f AS (SELECT job_id, l.dim, t, coalesce(2.0 * (tp - gt * CAST(prob >= t AS INT)) / nullif(p - CAST(prob >= t AS INT) + g - gt, 0), 0) AS f1 FROM (SELECT DISTINCT dim, prob, gt, min(job_id) OVER (PARTITION BY dim, prob, gt) AS job_id FROM long) l JOIN c ON l.dim = c.dim),
+o AS (SELECT dim, job_id, t, row_number() OVER (PARTITION BY dim, job_id ORDER BY f1 DESC, t) AS k FROM f),
+w AS (SELECT l.dim, l.job_id, min(l.job_id) OVER (PARTITION BY l.dim, l.prob, l.gt) AS first_id FROM long l)
+SELECT w.job_id, w.dim, CAST(t AS DOUBLE) AS threshold FROM w JOIN o ON w.dim = o.dim AND w.first_id = o.job_id WHERE k = 1""")
 def left_out(spark, sf_dir):
-    return metrics.left_out_thresholds(surrogate.predictions(spark, sf_dir), DIMS, _GRID)
+    return metrics.left_out_thresholds(surrogate.predictions(spark, sf_dir), DIMS, [i / 100 for i in range(1, 100)])
 
 
 _GTS = "list_sort([x for x in [" + ", ".join(f"CASE WHEN gt_{d} = 1 THEN '{d}' END" for d in DIMS) + "] if x IS NOT NULL])"
@@ -106,13 +107,13 @@ def set_scores(spark, sf_dir):
 
 @register("L12_bootstrap")
 def bootstrap(spark, sf_dir):
-    return metrics.bootstrap(surrogate.predictions(spark, sf_dir), DIMS, replicates=200)
+    return metrics.bootstrap(surrogate.predictions(spark, sf_dir), DIMS)
 
 
 @register("L13_paired_bootstrap")
 def paired(spark, sf_dir):
     p = surrogate.predictions(spark, sf_dir).withColumns({f"base_{d}": (F.col(f"prob_{d}") >= 0.5).cast("int") for d in DIMS})
-    return metrics.bootstrap(p, DIMS, replicates=200, other="base")
+    return metrics.bootstrap(p, DIMS, other="base")
 
 
 @register("L20_latency", f"SELECT event_type, {', '.join(f'{q6(e)} AS {n}' for n, e in (('mean', 'avg(value)'), ('std', 'stddev_pop(value)'), ('p50', 'quantile_cont(value, 0.5)'), ('p95', 'quantile_cont(value, 0.95)'), ('p99', 'quantile_cont(value, 0.99)'), ('min', 'min(value)'), ('max', 'max(value)')))} FROM events GROUP BY event_type")
