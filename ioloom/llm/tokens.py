@@ -9,6 +9,7 @@ ids are joined. Any other text goes to the library whole. Either way the ids are
 from __future__ import annotations
 
 import array
+import gc
 import os
 import re
 import sys
@@ -87,5 +88,8 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
 
 
 def forget() -> None:
-    """Gives the words back in a worker process that goes on to other work."""
-    encoder.cache_clear()
+    """Gives the words back in a worker process that goes on to other work: an encoder's dictionaries refer to each
+    other, so only a collection frees them."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
