@@ -55,18 +55,17 @@ def top4_merge(records: DataFrame, groups: list[str], key: str = "jobid") -> Dat
 def aggregate_records(records: DataFrame, counters: list[str] | None = None, key: str = "jobid") -> DataFrame:
     """One row per job: its counters merged, shared_<module> flags, num_files, n_records, modules (sorted).
 
-    Records are dealt by job once; the plain merges, the top-4 merges and their join all reuse that.
+    Every merge is a sum of partial ones, so a job of very many records is merged where they lie before its shuffle.
     """
     chosen = [c for c in (counters or ALL_COUNTERS) if c in records.columns]
     groups = [g for g in TOP4 if any(c in chosen for pair in top4_columns(g) for c in pair)]
-    dealt = records.repartition(key)
     plain = [c for c in chosen if rule_of(c) != "top4"]
     flags = [F.expr(f"{_shared(m)} AS shared_{m.replace('-', '').lower()}") for m in MODULES]
-    out = dealt.groupBy(key).agg(*[F.expr(f"{merged(c)} AS {c}") for c in plain], *flags, F.count("*").alias("n_records"))
+    out = records.groupBy(key).agg(*[F.expr(f"{merged(c)} AS {c}") for c in plain], *flags, F.count("*").alias("n_records"))
     # Apart, so that the wide grouping has neither distinct phases nor a set in its buffer.
-    out = out.join(dealt.groupBy(key).agg(F.countDistinct("file_id").alias("num_files"), F.array_sort(F.collect_set("module")).alias("modules")), key)
+    out = out.join(records.groupBy(key).agg(F.countDistinct("file_id").alias("num_files"), F.array_sort(F.collect_set("module")).alias("modules")), key)
     if groups:
-        places = top4_merge(dealt, groups, key)
+        places = top4_merge(records, groups, key)
         out = out.join(places, key, "left").fillna(0, [c for c in places.columns if c != key])
     return out.select(key, *chosen, *[c for c in out.columns if c not in chosen and c != key and rule_of_place(c)])
 

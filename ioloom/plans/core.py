@@ -12,9 +12,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The JVM compiles no method of more bytes. Generated code of the wide merge exceeds it and would be interpreted.
+COMPILED = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """spark, planning smaller methods for wide expressions unless the session has its own setting."""
+    if spark.conf.get(COMPILED[0], None) in (None, "65535"):
+        spark.conf.set(*COMPILED)
+    return spark
+
+
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: f(tuned(spark), sf_dir)
         if oracle:
             ORACLES[name] = oracle
         return f
