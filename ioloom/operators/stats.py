@@ -53,6 +53,11 @@ def redundant(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.filter(F.abs("rho") >= threshold).orderBy(F.desc(F.abs("rho")), "a", "b")
 
 
+def zero_fractions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, zero_fraction of its values that are there."""
+    return values(df, columns).groupBy("feature").agg(F.avg((F.col("value") == 0).cast("double")).alias("zero_fraction"))
+
+
 def sparse(profiled: DataFrame, threshold: float = 0.99) -> DataFrame:
     return profiled.filter(F.col("zero_fraction") > threshold).select("feature", "zero_fraction").orderBy(F.desc("zero_fraction"), "feature")
 

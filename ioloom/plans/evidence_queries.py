@@ -81,21 +81,18 @@ _NK = " + ".join(f"CAST(a.{c} <> 0 OR b.{c} <> 0 AS INT)" for c in _SIG)
 _SHARE = " + ".join(f"a.{d} * b.{d}" for d in DIMENSIONS)
 
 
-@register("M4_M6_retrieval", f"""WITH {sql.LABELS}, s AS MATERIALIZED (SELECT _jobid, _benchmark, _scenario, {', '.join(DIMENSIONS)}, {', '.join(f'floor({c} * 10000 + 0.5) / 10000 AS {c}' for c in _SIG)} FROM labels_),
-kb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _benchmark, _scenario ORDER BY _jobid) AS k FROM s) WHERE k = 1),
-p AS (SELECT a._jobid AS job_id, b._jobid AS entry_id, {_SHARE} AS matched, round(coalesce(({_SIM}) / nullif({_NK}, 0), 0), 4) AS similarity FROM s a, kb b WHERE {_SHARE} > 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY matched DESC, similarity DESC, entry_id) AS place FROM p) SELECT job_id, place, matched, similarity FROM o WHERE place = 1""")
+@register("M4_M6_retrieval", f"""WITH {sql.LABELS}, s AS MATERIALIZED (SELECT _jobid, {', '.join(DIMENSIONS)}, {', '.join(f'floor({c} * 10000 + 0.5) / 10000 AS {c}' for c in _SIG)} FROM labels_),
+p AS (SELECT a._jobid AS job_id, b._jobid AS entry_id, {_SHARE} AS matched, round(coalesce(({_SIM}) / nullif({_NK}, 0), 0), 4) AS similarity FROM s a, s b WHERE a._jobid % 100 = 0 AND {_SHARE} > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY matched DESC, similarity DESC, entry_id) AS place FROM p) SELECT job_id, place, entry_id, matched, similarity FROM o WHERE place <= 3""")
 def m4(spark, sf_dir):
-    from pyspark.sql import Window
-
     from ioloom.operators import rules
 
     signature = F.map_from_arrays(F.array(*map(F.lit, _SIG)), F.array(*[F.floor(F.col(c) * 10000 + 0.5) / 10000 for c in _SIG])).alias("signature")
     rows = rules.labelled(engineered(spark, sf_dir), keep=_SIG)
-    rows = rows.select(F.col("_jobid").alias("job_id"), "_benchmark", "_scenario", F.array_compact(F.array(*[F.when(F.col(d) == 1, F.lit(d)) for d in DIMENSIONS])).alias("dims"), signature).persist()
-    first = F.row_number().over(Window.partitionBy("_benchmark", "_scenario").orderBy("job_id"))
-    kb = rows.withColumn("k", first).filter("k = 1").select(F.col("job_id").alias("entry_id"), "dims", "signature", F.col("job_id").alias("ordinal"))
-    return knowledge.retrieve(rows.select("job_id", "dims", "signature"), kb, 1).select("job_id", "place", "matched", "similarity")
+    rows = rows.select(F.col("_jobid").alias("job_id"), F.array_compact(F.array(*[F.when(F.col(d) == 1, F.lit(d)) for d in DIMENSIONS])).alias("dims"), signature).persist()
+    kb = rows.select(F.col("job_id").alias("entry_id"), "dims", "signature", F.col("job_id").alias("ordinal"))
+    asked = rows.filter("job_id % 100 = 0").select("job_id", "dims", "signature")
+    return knowledge.retrieve(asked, kb, 3).select("job_id", "place", "entry_id", "matched", "similarity")
 
 
 @register("M3_entries_per_dimension", f"WITH {sql.LABELS} " + " UNION ALL ".join(f"SELECT '{d}' AS dim, _benchmark AS benchmark, count(*) AS n FROM labels_ WHERE {d} = 1 GROUP BY _benchmark" for d in DIMENSIONS))
@@ -195,20 +192,20 @@ def k1(spark, sf_dir):
 @register("K3_K8_boosted_trees")
 def k3(spark, sf_dir):
     t = _table(spark, sf_dir).persist()
-    fitted = models.fit(t.filter("_jobid % 4 <> 0"), _FEATURES, DIMENSIONS[:3])
-    return models.score(t.filter("_jobid % 4 = 0"), fitted, DIMENSIONS[:3]).select("_jobid", *[f"prob_{d}" for d in DIMENSIONS[:3]], "detected")
+    fitted = models.fit(t.filter("_jobid % 4 <> 0"), _FEATURES, DIMENSIONS)
+    return models.score(t.filter("_jobid % 4 = 0"), fitted, DIMENSIONS).select("_jobid", *[f"prob_{d}" for d in DIMENSIONS], "detected")
 
 
 @register("K5_K15_forest_importances")
 def k5(spark, sf_dir):
     t = _table(spark, sf_dir).persist()
-    return spark.createDataFrame(models.importances(models.fit(t, _FEATURES, DIMENSIONS[:2], "forest"), _FEATURES, 5), "dimension string, feature string, importance double, place int")
+    return spark.createDataFrame(models.importances(models.fit(t, _FEATURES, DIMENSIONS, "forest"), _FEATURES), "dimension string, feature string, importance double, place int")
 
 
 @register("K7_linear")
 def k7(spark, sf_dir):
     t = _table(spark, sf_dir).persist()
-    return models.score(t, models.fit(t, _FEATURES, DIMENSIONS[:2], "linear"), DIMENSIONS[:2], 0.5).select("_jobid", "detected")
+    return models.score(t, models.fit(t, _FEATURES, DIMENSIONS, "linear"), DIMENSIONS, 0.5).select("_jobid", "detected")
 
 
 @register("K17_majority", f"WITH {sql.LABELS} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST(avg({d}) > 0.5 AS INT) AS predicted FROM labels_" for d in DIMENSIONS))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ioloom.functions.counters import DIMENSIONS, group_of
+from ioloom.functions.counters import ALL_COUNTERS, DERIVED, DIMENSIONS, INDICATORS, group_of
 from ioloom.operators import characterize, prepare, relate, stats
 from ioloom.plans import sql
 from ioloom.plans.core import r6, register, rounded
@@ -24,6 +24,16 @@ def feats(spark, sf_dir):
     return engineered(spark, sf_dir).select("_jobid", "_start_time", "_uid", "_benchmark", "_scenario", *COLS)
 
 
+#: All feature columns, as stats.feature_columns finds them in engineered rows, and them as SQL rows.
+FEATURES = ["nprocs", "runtime_seconds", *ALL_COUNTERS, *INDICATORS, "num_files", *DERIVED]
+_EM = _E.replace("engineered AS (", "engineered AS MATERIALIZED (")
+
+
+def _all(where: str = "true") -> str:
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)
+    return f"SELECT _jobid, feature, value FROM (SELECT _jobid, {columns} FROM engineered WHERE {where}) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(FEATURES)}))"
+
+
 _Q = ", ".join(f"{q6(f'quantile_cont(value, {q})')} AS {n}" for n, q in stats.QUANTILES.items())
 
 
@@ -56,9 +66,10 @@ def g5(spark, sf_dir):
     return stats.redundant(stats.correlation(feats(spark, sf_dir), COLS[:-1], "spearman"), 0.5).select("a", "b", F.round("rho", 6).alias("rho"))
 
 
-@register("G6_sparse_features", f"{_E}, long AS ({_long()}) SELECT feature, {q6('avg(CAST(value = 0 AS INT))')} AS zero_fraction FROM long GROUP BY feature HAVING avg(CAST(value = 0 AS INT)) > 0.99")
+@register("G6_sparse_features", f"{_EM}, long AS ({_all()}) SELECT feature, {q6('avg(CAST(value = 0 AS INT))')} AS zero_fraction FROM long GROUP BY feature HAVING avg(CAST(value = 0 AS INT)) > 0.99")
 def g6(spark, sf_dir):
-    return stats.sparse(stats.profile(feats(spark, sf_dir), COLS)).select("feature", *rounded("zero_fraction"))
+    df = engineered(spark, sf_dir)
+    return stats.sparse(stats.zero_fractions(df, stats.feature_columns(df))).select("feature", *rounded("zero_fraction"))
 
 
 @register("G7_group_summary", f"""{_E}, long AS ({_long()}), p AS (SELECT CASE feature {' '.join(f"WHEN '{c}' THEN '{group_of(c)}'" for c in COLS)} END AS feature_group, skewness(value) AS s, kurtosis(value) AS k, avg(CAST(value = 0 AS INT)) AS z FROM long WHERE feature <> 'has_hdf5' GROUP BY feature)
@@ -68,10 +79,11 @@ def g7(spark, sf_dir):
     return out.select("feature_group", "n_features", F.round("median_skewness", 4).alias("median_skewness"), F.round("median_kurtosis", 4).alias("median_kurtosis"), *rounded("mean_zero_fraction"))
 
 
-@register("G8_drop_constants", f"{_E} SELECT _jobid, {', '.join(q6(c) + ' AS ' + c for c in COLS[:-1])} FROM engineered")
+@register("G8_G9_drop_constants", f"{_EM}, long AS ({_all()}) SELECT feature FROM long GROUP BY feature HAVING stddev_samp(value) <> 0")
 def g8(spark, sf_dir):
-    df = feats(spark, sf_dir).select("_jobid", *COLS)
-    return df.drop(*stats.constants(df, COLS)).select("_jobid", *rounded(*COLS[:-1]))
+    df = engineered(spark, sf_dir)
+    kept = stats.feature_columns(df.drop(*stats.constants(df, stats.feature_columns(df))))
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
 @register("G10_audit", f"{_E}, long AS ({_long()}) SELECT feature, abs(skewness(value)) > 10 AS skewed, kurtosis(value) > 100 AS heavy, stddev_samp(value) > 50 AS wide, stddev_samp(value) < 0.001 AS narrow, greatest(abs(min(value)), abs(max(value))) > 100 AS far, stddev_samp(value) = 0 AS constant FROM long WHERE feature <> 'has_hdf5' GROUP BY feature")
@@ -79,29 +91,31 @@ def g10(spark, sf_dir):
     return stats.audit(feats(spark, sf_dir), COLS[:-1])
 
 
-@register("G12_covariate_shift", f"{_E}, long AS ({_long('WHERE _jobid % 3 = 0')}), other AS ({_long('WHERE _jobid % 3 <> 0')}), a AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM long GROUP BY feature), b AS (SELECT feature, avg(value) AS m2 FROM other GROUP BY feature) SELECT a.feature, {q6('abs(m - m2) / (s + 1e-10)')} AS shift, abs(m - m2) / (s + 1e-10) > 0.05 AS shifted FROM a JOIN b ON a.feature = b.feature")
+@register("G12_covariate_shift", f"{_EM}, long AS ({_all('_jobid % 3 = 0')}), other AS ({_all('_jobid % 3 <> 0')}), a AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM long GROUP BY feature), b AS (SELECT feature, avg(value) AS m2 FROM other GROUP BY feature) SELECT a.feature, {q6('abs(m - m2) / (s + 1e-10)')} AS shift, abs(m - m2) / (s + 1e-10) > 0.05 AS shifted FROM a JOIN b ON a.feature = b.feature")
 def g12(spark, sf_dir):
-    df = feats(spark, sf_dir)
-    return stats.covariate_shift(df.filter("_jobid % 3 = 0"), df.filter("_jobid % 3 <> 0"), COLS, 0.05).select("feature", *rounded("shift"), "shifted")
+    df = engineered(spark, sf_dir)
+    return stats.covariate_shift(df.filter("_jobid % 3 = 0"), df.filter("_jobid % 3 <> 0"), stats.feature_columns(df), 0.05).select("feature", *rounded("shift"), "shifted")
 
 
-@register("G13_ks", f"""{_E}, both_ AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS value, CAST(_jobid % 3 = 0 AS INT) AS one FROM engineered" for c in COLS)}), at_ AS (SELECT feature, value, sum(one) AS n1, sum(1 - one) AS n0 FROM both_ GROUP BY feature, value),
+@register("G13_ks", f"""{_EM}, both_ AS (SELECT feature, value, CAST(_jobid % 3 = 0 AS INT) AS one FROM ({_all()})), at_ AS (SELECT feature, value, sum(one) AS n1, sum(1 - one) AS n0 FROM both_ GROUP BY feature, value),
 g AS (SELECT feature, abs(CAST(sum(n1) OVER (PARTITION BY feature ORDER BY value) AS DOUBLE) / sum(n1) OVER (PARTITION BY feature) - CAST(sum(n0) OVER (PARTITION BY feature ORDER BY value) AS DOUBLE) / sum(n0) OVER (PARTITION BY feature)) AS gap FROM at_) SELECT feature, {q6('max(gap)')} AS ks FROM g GROUP BY feature""")
 def g13(spark, sf_dir):
-    df = feats(spark, sf_dir)
-    return stats.ks_statistic(df.filter("_jobid % 3 = 0"), df.filter("_jobid % 3 <> 0"), COLS).select("feature", *rounded("ks"))
+    df = engineered(spark, sf_dir)
+    return stats.ks_statistic(df.filter("_jobid % 3 = 0"), df.filter("_jobid % 3 <> 0"), stats.feature_columns(df)).select("feature", *rounded("ks"))
 
 
-@register("G14_mad_outliers", f"""{_E}, long AS ({_long()}), m AS (SELECT feature, quantile_cont(value, 0.5) AS mid, avg(value) AS mean, stddev_samp(value) AS sd FROM long GROUP BY feature),
+@register("G14_mad_outliers", f"""{_EM}, long AS ({_all()}), m AS (SELECT feature, quantile_cont(value, 0.5) AS mid, avg(value) AS mean, stddev_samp(value) AS sd FROM long GROUP BY feature),
 d AS (SELECT l.feature, value, mid, mean, sd, abs(value - mid) AS dev FROM long l JOIN m ON l.feature = m.feature), k AS (SELECT feature, quantile_cont(dev, 0.5) AS mad FROM d GROUP BY feature)
 SELECT d.feature, {q6('avg(CASE WHEN mad > 1e-10 THEN CAST(dev / (1.4826 * mad) > 3 AS INT) WHEN sd > 1e-10 THEN CAST(abs(value - mean) / sd > 3 AS INT) ELSE 0 END)')} AS outlier_ratio FROM d JOIN k ON d.feature = k.feature GROUP BY d.feature""")
 def g14(spark, sf_dir):
-    return stats.mad_outliers(feats(spark, sf_dir), COLS).select("feature", *rounded("outlier_ratio"))
+    df = engineered(spark, sf_dir)
+    return stats.mad_outliers(df, stats.feature_columns(df)).select("feature", *rounded("outlier_ratio"))
 
 
-@register("G16_range_check", f"{_E}, long AS ({_long()}) SELECT feature, quantile_cont(value, 0.05) >= -10 AND quantile_cont(value, 0.95) <= 10 AS in_range, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) BETWEEN 0.1 AND 10 AS iqr_ok FROM long GROUP BY feature")
+@register("G16_range_check", f"{_EM}, long AS ({_all()}) SELECT feature, quantile_cont(value, 0.05) >= -10 AND quantile_cont(value, 0.95) <= 10 AS in_range, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) BETWEEN 0.1 AND 10 AS iqr_ok FROM long GROUP BY feature")
 def g16(spark, sf_dir):
-    return stats.range_check(feats(spark, sf_dir), COLS)
+    df = engineered(spark, sf_dir)
+    return stats.range_check(df, stats.feature_columns(df))
 
 
 # ---- normalization and splits
@@ -242,11 +256,11 @@ def j4(spark, sf_dir):
     return relate.unmapped(_orders(spark, sf_dir), known, "o_custkey")
 
 
-@register("J5_longest_prefix", """WITH k AS (SELECT DISTINCT substr(p_name, 1, CAST(2 + p_partkey % 6 AS INT)) AS label FROM part WHERE p_partkey < 40), n AS (SELECT DISTINCT p_name FROM part),
+@register("J5_longest_prefix", """WITH k AS (SELECT DISTINCT substr(p_name, 1, CAST(2 + p_partkey % 6 AS INT)) AS label FROM part), n AS (SELECT DISTINCT p_name FROM part),
 j AS (SELECT p_name, label, row_number() OVER (PARTITION BY p_name ORDER BY CASE WHEN label IS NULL THEN 0 WHEN label = p_name THEN 0 ELSE 1 END, length(label) DESC NULLS LAST, label) AS r FROM n LEFT JOIN k ON starts_with(p_name, label) OR starts_with(label, p_name)) SELECT p_name, label FROM j WHERE r = 1""")
 def j5(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    keys = part.filter("p_partkey < 40").select(F.expr("substring(p_name, 1, cast(2 + p_partkey % 6 as int))").alias("key")).distinct()
+    keys = part.select(F.expr("substring(p_name, 1, cast(2 + p_partkey % 6 as int))").alias("key")).distinct()
     return relate.longest_prefix(part.select("p_name").distinct(), "p_name", keys, "key")
 
 
