@@ -86,6 +86,12 @@ def g8(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+@register("G8_drop_constants", f"{_E} SELECT _jobid, {', '.join(q6(c) + ' AS ' + c for c in COLS[:-1])} FROM engineered")
+def g8_table(spark, sf_dir):
+    df = feats(spark, sf_dir).select("_jobid", *COLS)
+    return df.drop(*stats.constants(df, COLS)).select("_jobid", *rounded(*COLS[:-1]))
+
+
 @register("G10_audit", f"{_E}, long AS ({_long()}) SELECT feature, abs(skewness(value)) > 10 AS skewed, kurtosis(value) > 100 AS heavy, stddev_samp(value) > 50 AS wide, stddev_samp(value) < 0.001 AS narrow, greatest(abs(min(value)), abs(max(value))) > 100 AS far, stddev_samp(value) = 0 AS constant FROM long WHERE feature <> 'has_hdf5' GROUP BY feature")
 def g10(spark, sf_dir):
     return stats.audit(feats(spark, sf_dir), COLS[:-1])
