@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ioloom.operators.order import percentiles, running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -99,12 +101,10 @@ def left_out_thresholds(predictions: DataFrame, dims: list[str], grid: list[floa
 def ranking(predictions: DataFrame, dims: list[str]) -> DataFrame:
     """dim, auc_roc (average ranks), auc_pr (steps at distinct scores), mean probability by class, signal.
 
-    Scores are counted first, so windows run over distinct scores, not over rows.
+    Scores are counted first; running sums go over buckets of scores, then over the distinct scores of a bucket.
     """
     at = long_form(predictions, dims).groupBy("dim", "prob").agg(F.count("*").alias("n"), F.sum("gt").alias("pos"))
-    up = Window.partitionBy("dim").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("dim").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.select("*", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("below"), F.sum("n").over(down).alias("taken"), F.sum("pos").over(down).alias("hits"))
+    at = running(at, "dim", "prob", ["n", "pos"]).select("dim", "prob", "n", "pos", F.col("n_below").alias("below"), (F.col("n_all") - F.col("n_below")).alias("taken"), (F.col("pos_all") - F.col("pos_below")).alias("hits"))
     out = at.groupBy("dim").agg(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("pos") * F.col("hits") / F.col("taken")).alias("steps"), F.sum(F.col("prob") * F.col("pos")).alias("s1"), F.sum(F.col("prob") * (F.col("n") - F.col("pos"))).alias("s0"))
     p, neg = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     auc = F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * neg)
@@ -113,9 +113,12 @@ def ranking(predictions: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def latency(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """mean, std (population), p50, p95, p99, min, max of a timing column."""
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), q.alias("q"), F.min(column).alias("min"), F.max(column).alias("max")).select(*by, "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "min", "max")
+    """mean, std (population), p50, p95, p99, min, max of a timing column, of each group if by is given."""
+    keys = {f"_k{i}": F.col(b) for i, b in enumerate(by)} or {"_k0": F.lit(0)}
+    rows = df.select(*by, *[c.alias(k) for k, c in keys.items()], column)
+    q = percentiles(rows, list(keys), column, [0.5, 0.95, 0.99]).select(F.struct(*keys).alias("_k"), "q")
+    rows = rows.groupBy(*by, F.struct(*keys).alias("_k")).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return rows.join(q, "_k", "left").select(*by, "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "min", "max")
 
 
 #: Draws of one block of replicates.

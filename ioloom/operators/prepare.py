@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ioloom.functions.counters import group_of
+from ioloom.operators.order import percentiles, placed
 from ioloom.operators.stats import values
 
 #: How each group is scaled.
@@ -26,8 +27,7 @@ def log10_clipped(c: Column) -> Column:
 
 def fit_robust(train: DataFrame, columns: list[str]) -> DataFrame:
     """feature, center (median), scale (interquartile range, 1 where it is 0) of log1p of the training rows."""
-    q = F.percentile(log1p_clipped(F.col("value")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    fitted = values(train, columns).groupBy("feature").agg(q.alias("q"))
+    fitted = percentiles(values(train, columns).withColumn("value", log1p_clipped(F.col("value"))), ["feature"], "value", [0.25, 0.5, 0.75], few=True)
     width = F.col("q")[2] - F.col("q")[0]
     return fitted.select("feature", F.col("q")[1].alias("center"), F.when(width == 0, 1.0).otherwise(width).alias("scale"))
 
@@ -52,8 +52,8 @@ def normalize(df: DataFrame, columns: list[str], scalers: DataFrame | None = Non
 def temporal_split(df: DataFrame, time: str, key: str, test: float = 0.15, val: float = 0.15) -> DataFrame:
     """df with split: the last share by time is test, the one before val. Counts are floors of n * share.
 
-    Rows are counted by time first; running sums go over days, then over the times of the cutting
-    days, and rows are ranked within the two cutting times only, so no step orders all rows in one task.
+    Rows are counted by day and by minute of the day first; running sums go over days, then over a day's minutes, and
+    rows are ordered within a minute only. A null time comes first, as in Spark's order.
     """
     n = F.sum("n").over(Window.partitionBy())
     day = F.floor(F.col(time) / 86400)
@@ -62,59 +62,54 @@ def temporal_split(df: DataFrame, time: str, key: str, test: float = 0.15, val:
     days = per_day.select("day", before_day.alias("before_day"), n.alias("total"))
     n_test, n_val = F.floor(F.col("total") * test), F.floor(F.col("total") * val)
     days = days.select("day", "before_day", (F.col("total") - n_test - n_val).alias("val_from"), (F.col("total") - n_test).alias("test_from"))
-    rows = df.withColumn("_day", day).join(days, F.col("_day").eqNullSafe(F.col("day")))
-    place = F.col("before_day") + F.row_number().over(Window.partitionBy("_day").orderBy(time, key)) - 1
+    minute = F.floor((F.col(time) - day * 86400) / 60)
+    rows = placed(df.withColumn("_day", day), ["_day"], F.coalesce(minute, F.lit(-1)), [time, key]).join(days, F.col("_day").eqNullSafe(F.col("day")))
+    place = F.col("before_day") + F.col("_place")
     split = F.when(place < F.col("val_from"), "train").when(place < F.col("test_from"), "val").otherwise("test")
     return rows.withColumn("split", split).select(*df.columns, "split")
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """A text whose order is as good as random, and the same in other engines: md5 of the key and the seed."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def random_split(df: DataFrame, key: str, test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """df with split by the rank of a hash of the key: the shares hold up to rounding of hash buckets.
+def hash_bucket(key: str, seed: int = 42) -> Column:
+    """The first of 4096 buckets of hash_order, in its order."""
+    return F.substring(hash_order(key, seed), 1, 3)
 
-    Ranks are taken within 1024 hash buckets plus the rows in earlier buckets, so sizes are exact.
-    """
-    bucket = F.pmod(F.shiftright(hash_order(key, seed), 40), F.lit(1024))
-    rows = df.withColumn("_h", hash_order(key, seed)).withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("n")).select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_total"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key)) - 1
-    n_test, n_val = F.floor(F.col("_total") * test), F.floor(F.col("_total") * val)
-    split = F.when(place < n_test, "test").when(place < n_test + n_val, "val").otherwise("train")
-    return rows.join(F.broadcast(sizes), "_bucket").withColumn("split", split).select(*df.columns, "split")
+
+def random_split(df: DataFrame, key: str, test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:
+    """df with split by the rank of a hash of the key; the shares are floors of n * share."""
+    rows = placed(df, [], hash_bucket(key, seed), [hash_order(key, seed), key])
+    n_test, n_val = F.floor(F.col("_size") * test), F.floor(F.col("_size") * val)
+    split = F.when(F.col("_place") < n_test, "test").when(F.col("_place") < n_test + n_val, "val").otherwise("train")
+    return rows.withColumn("split", split).select(*df.columns, "split")
 
 
 def stratified_split(df: DataFrame, dims: list[str], key: str, train: float = 0.3, seed: int = 42) -> DataFrame:
     """df with split: each combination of labels is cut at the share; those of one row go to test."""
-    stratum = F.concat(*[F.coalesce(F.col(d).cast("string"), F.lit("-")) for d in dims])
-    rows = df.withColumn("_s", stratum)
-    size, place = F.count("*").over(Window.partitionBy("_s")), F.row_number().over(Window.partitionBy("_s").orderBy(hash_order(key, seed), key))
-    return rows.withColumn("split", F.when((size > 1) & (place <= F.round(size * train)), "train").otherwise("test")).drop("_s")
+    rows = placed(df, dims, hash_bucket(key, seed), [hash_order(key, seed), key])
+    first = (F.col("_size") > 1) & (F.col("_place") < F.round(F.col("_size") * train))
+    return rows.withColumn("split", F.when(first, "train").otherwise("test")).select(*df.columns, "split")
 
 
 def stratified_sample(df: DataFrame, dims: list[str], n: int, key: str, seed: int = 42) -> DataFrame:
     """About n rows, strata in proportion, at least one of each, the rest by hash order."""
-    stratum = F.concat(*[F.col(d).cast("string") for d in dims])
-    rows = df.withColumn("_s", stratum)
-    counts = rows.groupBy("_s").agg(F.count("*").alias("_c"))
-    total = counts.agg(F.sum("_c")).first()[0] or 1
-    alloc = F.greatest(F.floor(F.col("_c") * n / total), F.lit(1))
-    rows = rows.join(F.broadcast(counts), "_s")
-    place = F.row_number().over(Window.partitionBy("_s").orderBy(hash_order(key, seed), key))
-    return rows.withColumn("_over", place > alloc).orderBy("_over", hash_order(key, seed), key).limit(n).drop("_s", "_c", "_over")
+    total = df.count() or 1
+    alloc = F.greatest(F.floor(F.col("_size") * n / total), F.lit(1))
+    rows = placed(df, dims, hash_bucket(key, seed), [hash_order(key, seed), key])
+    return rows.withColumn("_over", F.col("_place") >= alloc).orderBy("_over", hash_order(key, seed), key).limit(n).select(*df.columns)
 
 
 def sample_per(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows of each value of by, first by hash."""
+    """n rows of each value of by, first by hash. Spark keeps n of a value in each task before it shuffles."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(key, seed), key))
     return df.withColumn("_k", place).filter(F.col("_k") <= n).drop("_k")
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(hash_order(key, seed), F.lit(k)))
+    return df.withColumn("fold", F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long") % k)
 
 
 def leave_one_out(df: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:

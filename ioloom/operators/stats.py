@@ -1,14 +1,16 @@
 """Per-feature statistics: profiles, correlation, shift and audits. Wide rows are unpivoted to
-(feature, value), so the work of exact percentiles spreads over features."""
+(feature, value); percentiles and running sums go through buckets of values, so no task holds a feature."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ioloom.functions.counters import group_of
+from ioloom.operators.order import percentiles, running, settled
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -26,16 +28,20 @@ def _groups(columns: list[str]) -> Column:
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, count, mean, std, min, max, quantiles, bias-corrected skewness and kurtosis, shares of zeros and negatives, group."""
     v, n = F.col("value"), F.col("count")
-    at = values(df, columns).groupBy("feature").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(*map(F.lit, QUANTILES.values()))).alias("q"),
+    held = df.select(*columns).persist(StorageLevel.DISK_ONLY)
+    rows = values(held, columns)
+    at = rows.groupBy("feature").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.count_if(v != 0).alias("nonzero_count"),
     )
+    at = at.join(percentiles(rows, ["feature"], "value", list(QUANTILES.values()), few=True), "feature", "left")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1.0)) / (n - 2))
     kurt = F.when(n > 3, (n - 1.0) / ((n - 2.0) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return at.select(
+    out = at.select(
         "feature", "count", "mean", "std", "min", "max", *[F.col("q")[i].alias(q) for i, q in enumerate(QUANTILES)], skew.alias("skewness"), kurt.alias("kurtosis"),
         (F.col("zeros") / n).alias("zero_fraction"), (F.col("negatives") / n).alias("negative_fraction"), "nonzero_count", _groups(columns).alias("feature_group"),
     )
+    return settled(out, held)
 
 
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -99,13 +105,13 @@ def covariate_shift(train: DataFrame, test: DataFrame, columns: list[str], limit
 def ks_statistic(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """feature, ks (largest gap of the two distribution functions), p_value (asymptotic), largest first.
 
-    Values are counted before the windows, which so run over distinct values of a feature.
+    Values are counted first; running sums go over buckets of values, then over the distinct values of a bucket. Nulls count for neither.
     """
-    both = values(a, columns).withColumn("one", F.lit(1)).unionAll(values(b, columns).withColumn("one", F.lit(0)))
-    at = both.groupBy("feature", "value").agg(F.sum("one").alias("n1"), F.sum(1 - F.col("one")).alias("n0"))
-    run, whole = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    at = at.select("feature", F.abs(F.sum("n1").over(run) / F.sum("n1").over(whole) - F.sum("n0").over(run) / F.sum("n0").over(whole)).alias("gap"), F.sum("n1").over(whole).alias("a"), F.sum("n0").over(whole).alias("b"))
-    d = at.groupBy("feature").agg(F.max("gap").alias("ks"), F.first("a").alias("a"), F.first("b").alias("b"))
+    both = values(a, columns).withColumn("one", F.lit(1)).unionAll(values(b, columns).withColumn("one", F.lit(0))).filter("value is not null")
+    at = both.groupBy("feature", "value").agg(F.sum("one").alias("n1"), F.sum(1 - F.col("one")).alias("n0")).persist(StorageLevel.DISK_ONLY)
+    share = lambda s: F.try_divide(F.col(f"{s}_below") + F.col(s), F.col(f"{s}_all"))
+    gaps = running(at, "feature", "value", ["n1", "n0"]).select("feature", F.abs(share("n1") - share("n0")).alias("gap"), F.col("n1_all").alias("a"), F.col("n0_all").alias("b"))
+    d = settled(gaps.groupBy("feature").agg(F.max("gap").alias("ks"), F.first("a").alias("a"), F.first("b").alias("b")), at)
     en = F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b")))
     lam = (en + 0.12 + 0.11 / en) * F.col("ks")
     tail = sum(((-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101)) * 2
@@ -114,12 +120,15 @@ def ks_statistic(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 
 def mad_outliers(df: DataFrame, columns: list[str], z: float = 3.0) -> DataFrame:
     """feature, share of values over z scaled absolute deviations from the median (std where the MAD is 0, 0 where that is too)."""
-    rows = values(df, columns)
-    mid = rows.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("mid"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    held = df.select(*columns).persist(StorageLevel.DISK_ONLY)
+    rows = values(held, columns)
+    half = lambda r: percentiles(r, ["feature"], "value", [0.5], few=True).select("feature", F.col("q")[0].alias("mid"))
+    mid = rows.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(half(rows), "feature", "left")
+    mid = df.sparkSession.createDataFrame(mid.collect(), mid.schema)  # a row per feature
     rows = rows.join(F.broadcast(mid), "feature")
-    mad = rows.groupBy("feature").agg(F.percentile(F.abs(F.col("value") - F.col("mid")), F.lit(0.5)).alias("mad"))
+    mad = half(rows.select("feature", F.abs(F.col("value") - F.col("mid")).alias("value"))).withColumnRenamed("mid", "mad")
     far = F.when(F.col("mad") > 1e-10, F.abs(F.col("value") - F.col("mid")) / (1.4826 * F.col("mad")) > z).when(F.col("std") > 1e-10, F.abs(F.col("value") - F.col("mean")) / F.col("std") > z).otherwise(False)
-    return rows.join(F.broadcast(mad), "feature").groupBy("feature").agg(F.avg(far.cast("double")).alias("outlier_ratio"))
+    return settled(rows.join(F.broadcast(mad), "feature", "left").groupBy("feature").agg(F.avg(far.cast("double")).alias("outlier_ratio")), held)
 
 
 def correlation_change(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -139,27 +139,35 @@ def h5(spark, sf_dir):
     return prepare.temporal_split(surrogate.jobs(spark, sf_dir), "start_time", "jobid").select("jobid", "split")
 
 
-@register("H6_random_split")
+_STRATA = {k: ", ".join(f"gt_{d}" for d in dims) for k, dims in (("all", surrogate.PREDICTION_DIMS), ("two", ["access_granularity", "access_pattern"]))}
+
+
+def _hash(key: str) -> str:
+    """prepare.hash_order in SQL, and the key."""
+    return f"md5(CAST({key} AS VARCHAR) || ':42'), {key}"
+
+
+@register("H6_random_split", f"WITH {sql.JOBS}, o AS (SELECT jobid, row_number() OVER (ORDER BY {_hash('jobid')}) - 1 AS k, CAST(floor(count(*) OVER () * 0.15) AS BIGINT) AS part FROM jobs) SELECT jobid, CASE WHEN k < part THEN 'test' WHEN k < 2 * part THEN 'val' ELSE 'train' END AS split FROM o")
 def h6(spark, sf_dir):
     return prepare.random_split(surrogate.jobs(spark, sf_dir), "jobid").select("jobid", "split")
 
 
-@register("H7_stratified_split")
+@register("H7_stratified_split", f"WITH p AS ({surrogate.predictions_sql()}), o AS (SELECT job_id, row_number() OVER (PARTITION BY {_STRATA['all']} ORDER BY {_hash('job_id')}) AS k, count(*) OVER (PARTITION BY {_STRATA['all']}) AS n FROM p) SELECT job_id, CASE WHEN n > 1 AND k <= round(n * CAST(0.3 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM o")
 def h7(spark, sf_dir):
     return prepare.stratified_split(surrogate.predictions(spark, sf_dir), [f"gt_{d}" for d in surrogate.PREDICTION_DIMS], "job_id").select("job_id", "split")
 
 
-@register("H8_stratified_sample")
+@register("H8_stratified_sample", f"WITH p AS ({surrogate.predictions_sql()}), o AS (SELECT job_id, {_STRATA['two']}, row_number() OVER (PARTITION BY {_STRATA['two']} ORDER BY {_hash('job_id')}) AS k, count(*) OVER (PARTITION BY {_STRATA['two']}) AS c, count(*) OVER () AS n FROM p) SELECT job_id, {_STRATA['two']} FROM o ORDER BY k > greatest(floor(c * 200 / CAST(n AS DOUBLE)), 1), {_hash('job_id')} LIMIT 200")
 def h8(spark, sf_dir):
     return prepare.stratified_sample(surrogate.predictions(spark, sf_dir), ["gt_access_granularity", "gt_access_pattern"], 200, "job_id").select("job_id", "gt_access_granularity", "gt_access_pattern")
 
 
-@register("H9_H10_sample_per_class")
+@register("H9_H10_sample_per_class", f"WITH p AS ({surrogate.predictions_sql()}) SELECT job_id, benchmark FROM p QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY {_hash('job_id')}) <= 25")
 def h9(spark, sf_dir):
     return prepare.sample_per(surrogate.predictions(spark, sf_dir), "benchmark", 25, "job_id").select("job_id", "benchmark")
 
 
-@register("H11_folds")
+@register("H11_folds", f"WITH {sql.JOBS} SELECT CAST('0x' || substr({_hash('jobid').split(', ')[0]}, 1, 8) AS BIGINT) % 5 AS fold, count(*) AS n FROM jobs GROUP BY 1")
 def h11(spark, sf_dir):
     return prepare.folds(surrogate.jobs(spark, sf_dir), "jobid").groupBy("fold").agg(F.count("*").alias("n"))
 
