@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ioloom.llm import chat, decontaminate, html_extract, kd_shards, packing, quality_pu, quality_rules, secret_scan, simhash, token_files
+from ioloom.llm import chat, decontaminate, html_extract, kd_shards, packing, quality_pu, quality_rules, secret_scan, simhash, token_files, turn_repair
 from ioloom.llm.base import scratch_path, table
 
 
@@ -73,6 +73,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_quality_rules, op4_secret_scan, op5_html_extract, op6_token_files, op7_packing, op8_quality_pu, op9_simhash, op10_kd_shards, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_quality_rules, op4_secret_scan, op5_html_extract, op6_token_files, op7_packing, op8_quality_pu, op9_simhash, op10_kd_shards, op13_turn_repair, pipeline)}
 
 
 _WORDS = r"[x for x in regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
