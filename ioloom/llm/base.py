@@ -78,3 +78,46 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread_
     left = rows.join(F.broadcast(hot), rows[key] == F.col("hot_key"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("hot_salts")), F.lit(0)).cast("int"))
     right = keyed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0)))).alias("salt"))
     return left.drop("hot_key", "hot_salts").join(right, [key, "salt"]).drop("salt")
+
+
+#: Bits of a filter that is broadcast, whatever the input's size: 32 MB.
+FILTER_BITS = 1 << 28
+_BUCKET_BITS = 1 << 15
+
+
+def bit_filter(hashes: DataFrame, column: str):
+    """A bit for each value of a bigint column, by its lowest bits, as bytes of FILTER_BITS / 8 in all.
+
+    A filter of fixed size: values that share a bit let more pass and never less, so what passes is always checked further.
+    """
+    import numpy as np
+
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    buckets = hashes.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    step = _BUCKET_BITS // 8
+    for r in buckets.toLocalIterator():  # FILTER_BITS / 2**15 rows of 4 kB at most
+        out[(r.bucket - 1) * step : r.bucket * step] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def passing(filter_bytes, hashes):
+    """Which of the uint64 hashes have their bit in bit_filter()'s bytes."""
+    import numpy as np
+
+    bit = hashes & np.uint64(FILTER_BITS - 1)
+    return (filter_bytes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as written() makes it, in files by a hash of key: joins on key read it where it lies and shuffle the other side only.
+
+    The files are in the shared folder; the session's catalog names the table only while it is looked up.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    named = f"{SCRATCH}{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(named)
+    out = spark.table(named)
+    out.schema  # noqa: B018 - resolved before the name goes
+    spark.sql(f"DROP TABLE {named}")  # an external table: its files stay
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ioloom.llm import chat, decontaminate, html_extract, kd_shards, packing, quality_pu, quality_rules, secret_scan, simhash, token_files, turn_repair
+from ioloom.llm import chat, decontaminate, html_extract, kd_shards, packing, quality_pu, quality_rules, repeats, secret_scan, simhash, token_files, turn_repair
 from ioloom.llm.base import scratch_path, table
 
 
@@ -73,6 +73,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_quality_rules, op4_secret_scan, op5_html_extract, op6_token_files, op7_packing, op8_quality_pu, op9_simhash, op10_kd_shards, op13_turn_repair, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_quality_rules, op4_secret_scan, op5_html_extract, op6_token_files, op7_packing, op8_quality_pu, op9_simhash, op10_kd_shards, op11_relative_lz, op13_turn_repair, pipeline)}
 
 
 _WORDS = r"[x for x in regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
@@ -118,5 +122,18 @@ FROM e GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS win FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 34)) AS i) WHERE len(w) >= 35),
+often AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest(generate_series(i, i + 34)) AS j FROM windows JOIN often USING (win)) GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM d WHERE r IN (SELECT r FROM gone)),
+rest AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept FROM words JOIN gone USING (r) WHERE NOT list_contains(js, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN js IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN rest USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op11_relative_lz": OP11_SQL}
