@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ioloom.llm import chat, decontaminate, html_extract, kd_shards, packing, quality_pu, quality_rules, repeats, secret_scan, simhash, token_files, turn_repair
+from ioloom.llm import chat, collocations, decontaminate, html_extract, kd_shards, packing, quality_pu, quality_rules, repeats, secret_scan, simhash, token_files, turn_repair
 from ioloom.llm.base import scratch_path, table
 
 
@@ -77,6 +77,10 @@ def op11_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -88,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_quality_rules, op4_secret_scan, op5_html_extract, op6_token_files, op7_packing, op8_quality_pu, op9_simhash, op10_kd_shards, op11_relative_lz, op13_turn_repair, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_quality_rules, op4_secret_scan, op5_html_extract, op6_token_files, op7_packing, op8_quality_pu, op9_simhash, op10_kd_shards, op11_relative_lz, op12_collocations, op13_turn_repair, pipeline)}
 
 
 _WORDS = r"[x for x in regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
@@ -135,5 +139,21 @@ FROM d LEFT JOIN gone USING (r) LEFT JOIN rest USING (r)
 """
 
 
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
+phrases AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM words, (SELECT unnest([1, 2, 3]) AS size), LATERAL (SELECT unnest(generate_series(1, len(w) - size + 1)) AS i)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+cuts AS (SELECT lang, size, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS tail FROM candidates, LATERAL (SELECT unnest(generate_series(1, size - 1)) AS cut)),
+scored AS (SELECT c.*, x.n AS l, y.n AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.n AS HUGEINT) * y.n) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM candidates t WHERE t.lang = b.lang AND t.size > b.size AND 100 * t.a >= 50 * b.a AND contains(' ' || t.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, totals.n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op11_relative_lz": OP11_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_chat_format": OP2_SQL, "op11_relative_lz": OP11_SQL, "op12_collocations": OP12_SQL}
