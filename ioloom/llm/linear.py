@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ioloom.llm import tokens
 from ioloom.llm.base import discarded, written
 from ioloom.llm.ngrams import BITS, KINDS, sparse_features
 
@@ -29,7 +28,6 @@ ROWS = 64
 
 def _featurised(batches):
     """(body, mark, held) -> distinct places and their values, each as bytes, with mark and held."""
-    tokens.forget()
     for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
         places, values = [], []
         for p, v in sparse_features([t or "" for t in batch.column(0).to_pylist()]):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ioloom.llm import tokens
+from ioloom.llm.base import mapped_in_place
 from ioloom.llm.linear import descend, sample, sigmoid
 from ioloom.llm.ngrams import BLOCK_TEXTS, KINDS, linear_scores
 
@@ -112,7 +112,6 @@ _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def _rows(batches, at: int, model: QualityModel | None, keep_from: float):
     """(batch, its texts' judgement columns) of each batch; at: the text's column."""
-    tokens.forget()
     for batch in (whole.slice(i, BLOCK_TEXTS) for whole in batches for i in range(0, whole.num_rows, BLOCK_TEXTS)):
         column = batch.column(at).fill_null("")
         texts, raws = column.to_pylist(), column.cast(pa.binary()).to_pylist()
@@ -144,4 +143,4 @@ def judge(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_F
 def keep_good(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, columns as they were."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    return docs.mapInArrow(lambda batches: _filtered(batches, at, shared.value, keep_from), docs.schema)
+    return mapped_in_place(docs, lambda batches: _filtered(batches, at, shared.value, keep_from))

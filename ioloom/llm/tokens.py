@@ -9,15 +9,17 @@ ids are joined. Any other text goes to the library whole. Either way the ids are
 from __future__ import annotations
 
 import array
-import gc
 import os
 import re
 import sys
 import unicodedata
 from functools import lru_cache
 
-#: Words held per worker process; later ones are encoded each time.
-CACHE_WORDS = 1_500_000
+#: Bytes that an encoder's words take in a worker process at most: a quarter for each of its two dictionaries and what
+#: each held at its last turn.
+CACHE_BYTES = 160 << 20
+#: What a word takes beside its letters and ids: two objects and their place in a dictionary.
+ENTRY_BYTES = 220
 #: Longer words are encoded each time.
 CACHE_CHARS = 48
 
@@ -33,20 +35,31 @@ _MARKED = re.compile(rf"([{_plain_letters()}]+)([!-&(-/:-@\[-^`{{-~]+)")
 
 
 class _Words(dict):
-    """word -> its ids; a word that isn't there is encoded, and kept while there is room."""
+    """word -> its ids. A word that isn't there is taken over from the turn before, or encoded."""
 
     def __init__(self, tokenizer, before: str, bare: _Words | None):
         self.tokenizer, self.before, self.bare = tokenizer, before, self if bare is None else bare
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     def __missing__(self, word: str) -> bytes:
-        if marked := _MARKED.fullmatch(word):
-            ids = self[marked[1]] + self.bare[marked[2]]
-        else:
-            ids = _packed(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
-        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
+        ids = self.old.get(word)
+        if ids is None:
+            if marked := _MARKED.fullmatch(word):
+                ids = self[marked[1]] + self.bare[marked[2]]
+            else:
+                ids = _packed(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
+        if len(word) <= CACHE_CHARS and self.bytes < CACHE_BYTES // 4:
             self[word] = ids
+            self.bytes += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
+    def turn(self) -> None:
+        """Forgets the words that weren't met since the last turn."""
+        self.old = dict(self)
+        self.clear()
+        self.bytes = 0
+
 
 class WordEncoder:
     def __init__(self, path: str, spaced: bool):
@@ -63,6 +76,9 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 16-bit integers; both vocabularies have under 65,536 ids."""
+        for words in (self.first, self.inner):
+            if words.bytes >= CACHE_BYTES // 4:
+                words.turn()
         words = text.split()
         if not words or " ".join(words) != text.replace("\n", " "):
             return self._whole(text)
@@ -85,11 +101,3 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path, spaced)
-
-
-def forget() -> None:
-    """Gives the words back in a worker process that goes on to other work: an encoder's dictionaries refer to each
-    other, so only a collection frees them."""
-    if encoder.cache_info().currsize:
-        encoder.cache_clear()
-        gc.collect()
