@@ -244,7 +244,7 @@ def test_packing_covers_every_id_once(spark):
 
     tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     rows = [(1, "Hello  world\n\n x"), (2, None), (3, ""), (4, "many words " * 1500), (4, "many words " * 1500), (None, "id\nless")]
-    out = packing.pack(docs_of(spark, rows), tokenizer_path("byte_bpe_50k.json"), with_ids=True).collect()
+    out = packing.pack(docs_of(spark, rows), tokenizer_path("byte_bpe_50k.json")).collect()
     assert len({r.sequence_id for r in out}) == len(out) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 1024 for r in out)
     for i, t in {r[0]: r[1] for r in rows}.items():
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
