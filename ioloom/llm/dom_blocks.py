@@ -138,13 +138,15 @@ def _described(attributes: list[tuple[str, str]]) -> tuple[str, str | None]:
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks in order. Comments, scripts, styles and the like hold no blocks; white space in a
-    block is one space; character references are decoded; a page may be malformed anywhere."""
+    block is one space; character references are decoded; a page may be malformed anywhere. A hidden inline element is a
+    block of its own, before the one that goes on around it."""
     page = page or ""
     out: list[Block] = []
     read = _Reader(page)
     stack: list[Node] = []
     depth: dict[str, int] = {}  # open elements by tag
     now, links = _Open(), 0
+    unseen: list[list] = []  # hidden inline elements: tag, how many of its kind are open in it, what was read around it
 
     def close():
         nonlocal now
@@ -153,6 +155,15 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(text, stack[-1] if stack else None, now.link_chars))
         now = _Open()
 
+    def show(k: int):
+        """Ends the hidden inline elements from the k-th on; what was read around them goes on."""
+        nonlocal now
+        while len(unseen) > k:
+            close()
+            tag, _, now = unseen.pop()
+            stack.pop()
+            depth[tag] -= 1
+
     def text(piece: str):
         now.pieces.append(piece)
         if links:
@@ -167,8 +178,9 @@ def blocks(page: str | None) -> list[Block]:
     while (at := page.find("<", at)) >= 0:
         begin = at
         if page.startswith("<!--", at):
-            end = read.find("-->", at + 4)
-            end = end + 3 if end >= 0 else read.find(">", at) + 1 or len(page)
+            # A comment that opens with --> or ---> is over at once.
+            end = next((at + len(x) for x in ("<!-->", "<!--->") if page.startswith(x, at)), 0) or read.find("-->", at + 4) + 3
+            end = end if end > at else read.find(">", at) + 1 or len(page)
             text(page[kept:begin])
             kept = at = end
             continue
@@ -198,9 +210,18 @@ def blocks(page: str | None) -> list[Block]:
             now.pieces.append(" ")
             continue
         if tag in INLINE:
-            if not closing and tag not in VOID and attributes and "hidden" in _described(attributes)[0].split():
-                close()
+            opens = not closing and not alone and tag not in VOID
+            if opens and attributes and "hidden" in _described(attributes)[0].split():
+                unseen.append([tag, 1, now])
+                now = _Open()
+                stack.append(Node(tag, *_described(attributes), stack[-1] if stack else None))
+                depth[tag] = depth.get(tag, 0) + 1
+            elif unseen and unseen[-1][0] == tag and (opens or closing):
+                unseen[-1][1] += 1 if opens else -1
+                if not unseen[-1][1]:
+                    show(len(unseen) - 1)
             continue
+        show(0)
         close()
         links = 0
         if closing:
@@ -222,5 +243,6 @@ def blocks(page: str | None) -> list[Block]:
             stack.append(Node(tag, *_described(attributes), stack[-1] if stack else None))
             depth[tag] = depth.get(tag, 0) + 1
     text(page[kept:])
+    show(0)
     close()
     return out
