@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SCRATCH = "ioloom-"
 #: A key is hot from this many rows on, and from a 2000th of all rows on: there are 2000 hot keys at most.
@@ -45,6 +47,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{SCRATCH}{name}-{uuid.uuid4().hex}"
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions take it, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def mapped_in_place(df: DataFrame, make: Callable) -> DataFrame:
+    """df through mapInArrow with the columns that it has. They travel under plain names: Spark takes a dot for a field."""
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema.fields)])
+    return df.toDF(*plain.names).mapInArrow(make, plain).toDF(*df.columns)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ioloom.llm.base import written
+from ioloom.llm.base import mapped_in_place, quoted, written
 
 WINDOW = 10
 #: Bytes of benchmark text compiled into one matcher; a larger benchmark is searched block by block.
@@ -189,9 +189,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     makers = _matchers(benchmark, item_col, item_text_col, WINDOW, matcher_bytes)
     if len(makers) == 1:
         shared, at = docs.sparkSession.sparkContext.broadcast(makers[0]()), docs.columns.index(text_col)
-        return docs.mapInArrow(lambda batches: _keep_clean(batches, at, shared.value), docs.schema)
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered")
-    found = _findings(rows.select("row", F.col(f"doc.`{text_col}`").alias("body")), "row", "body", makers)
+        return mapped_in_place(docs, lambda batches: _keep_clean(batches, at, shared.value))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc")), "numbered")
+    found = _findings(rows.select("row", F.col(f"doc.{quoted(text_col)}").alias("body")), "row", "body", makers)
     return rows.join(found.select("row"), "row", "left_anti").select("doc.*")
 
 

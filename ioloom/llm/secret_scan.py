@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, LongType
 
+from ioloom.llm.base import mapped_in_place
+
 # What a pattern must match, and how long it must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -174,4 +176,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", count_col: str = "n_
     """docs with secrets replaced in text, and count_col, if it is a column of whole numbers, recounted where the text changed."""
     counted = count_col in docs.columns and isinstance(docs.schema[count_col].dataType, IntegerType | LongType)
     at = docs.columns.index(text_col), docs.columns.index(count_col) if counted else None
-    return docs.mapInArrow(lambda batches: _redact(batches, *at), docs.schema)
+    return mapped_in_place(docs, lambda batches: _redact(batches, *at))

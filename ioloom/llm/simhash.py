@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ioloom.llm.base import HOT_KEYS, HOT_ROWS, discarded, salted_join, written
+from ioloom.llm.base import HOT_KEYS, HOT_ROWS, discarded, quoted, salted_join, written
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Nodes of one bucket that a task links directly; larger buckets are divided first.
@@ -209,7 +209,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows, rooted, total = _rooted(docs, id_col, text_col)
     kept = rooted.filter("name = root").select(F.coalesce(F.col("root.id").cast("string"), F.lit("")).alias("i"), F.col("root.unknown").alias("u"), F.col("root.text_hash").alias("h"))
     key = ["i", "u", "h"]
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(id_col).isNull().alias("u"), F.xxhash64(text_col).alias("h"))
+    marked = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(id_col).isNull().alias("u"), F.xxhash64(text_col).alias("h"))
     counted = rows.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("i"), F.col("id").isNull().alias("u"), F.col("text_hash").alias("h")).agg(F.count("*").alias("n"))
     hot = written(counted.filter(F.col("n") > max(HOT_ROWS, -(-total // HOT_KEYS))).select(*key), "repeated")  # HOT_KEYS rows at most
     if hot.limit(1).count():

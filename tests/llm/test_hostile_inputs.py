@@ -12,7 +12,7 @@ import corpus_pipeline
 from ioloom.llm import chat, decontaminate, dom_blocks, html_extract, packing, quality_rules, secret_scan, simhash, tokens
 from ioloom.llm.queries import OP1_SQL, OP2_SQL, PROBE, tokenizer_path
 
-CLASHING = ["_judged_text", "_hash", "_known", "_null", "row", "i", "u", "h", "n", "salt", "fp", "name", "root", "doc", "body"]
+CLASHING = ["_judged_text", "_hash", "_known", "_null", "row", "i", "u", "h", "n", "salt", "fp", "name", "root", "doc", "body", "a.b", "c`d", "c0"]
 
 
 def clashing(spark, rows):
@@ -76,6 +76,13 @@ def texts(page):
     return [b.text for b in dom_blocks.blocks(page)]
 
 
+def test_hidden_inline_elements_and_short_comments():
+    assert texts("<!-->shown--><p>x</p>") == ["shown-->", "x"] and texts("<!--->shown<p>x</p>") == ["shown", "x"] and texts("<!-- a --><p>x</p>") == ["x"]
+    page = "<p>one <span hidden>two <span>three</span> four</span> five</p><p>six</p>"
+    assert texts(page) == ["two three four", "one five", "six"] and dom_blocks.blocks(page)[0].node.words == "hidden"
+    assert texts("<p>one<i hidden>two<p>three<i hidden/>four</p>") == ["two", "one", "threefour"]
+
+
 def test_bad_markup_loses_no_text():
     assert texts("<p title='it's'>Hello</p><p>don't go</p>") == ["Hello", "don't go"]
     assert texts('<p class="a"b">Hello world</p>') == ["Hello world"]
@@ -152,7 +159,7 @@ def test_a_secret_before_its_word_is_found_and_long_texts_take_linear_time():
 
 def test_pieces_are_numbered_within_their_bucket(spark, tmp_path):
     rows = [(i, "some words here " * (i % 7)) for i in range(40)] + [(None, None)]
-    out = packing.pack(docs_of(spark, rows).repartition(3), tokenizer_path("byte_bpe_50k.json"), with_ids=True).collect()
+    out = packing.pack(docs_of(spark, rows).repartition(3), tokenizer_path("byte_bpe_50k.json")).collect()
     lengths = sorted({r.length for r in out})
     first = 0
     for n in lengths:
