@@ -9,24 +9,61 @@ from ioloom.functions.counters import DIMENSIONS
 
 G, M, P, A, I, S, T, H = DIMENSIONS
 
-# File-name patterns in their order, each a prefix and a *, with the labels they mean; the first match holds.
-PATTERNS = [
-    ("ior_small_posix_", [G]), ("ior_small_direct_", [G]), ("ior_misaligned_", [G]), ("ior_random_posix_", [A]), ("ior_random_small_", [A, G]), ("ior_interface_posix_shared_", [I]), ("ior_interface_mpiio_indep_", [I]),
-    ("ior_file_explosion_", [S]), ("ior_fsync_per_write_", [T]), ("ior_healthy_", [H]), ("mdtest_meta_", [M]), ("mdtest_deep_tree_", [M]), ("mdtest_fpp_", [S]), ("mdtest_healthy_", [H]), ("dlio_small_", [G]), ("dlio_ckpt_", [T]),
-    ("dlio_healthy_", [H]), ("dlio_shuffle_", [A]), ("custom_imbalance_", [P]), ("custom_balanced_", [H]), ("ior_io500_hard_", [G, I]), ("ior_io500_easy_", [H]), ("mdtest_io500_hard_", [M]), ("mdtest_io500_easy_", [H]),
-    ("ior_e2e_posix_shared_", [I]), ("ior_e2e_mpiio_coll_", [H]), ("h5b_indep_small_n", [I]), ("h5b_interleaved_access_", [H]), ("h5b_collective_small_", [G]), ("h5b_collective_large_healthy_", [H]), ("h5b_indep_large_healthy_", [H]),
-    ("h5b_indep_small_interleaved_", [G, I]), ("h5b_indep_interleaved_", [I]), ("h5b_indep_small_single_ost_", [G, I, T]), ("hacc_posix_shared_large_", [I]), ("hacc_fpp_many_ranks_", [S]), ("hacc_posix_shared_single_ost_", [T]),
-    ("hacc_mpiio_collective_healthy_", [H]), ("hacc_fpp_healthy_", [H]), ("hacc_posix_shared_small_p", [G, I]), ("hacc_posix_shared_small_1ost_", [G, I, T]), ("hacc_fpp_small_many_", [S, G]), ("hacc_posix_shared_many_single_ost_", [I, T]),
-]
+# File-name globs in their order, with the labels they mean; the first match holds.
+PATTERNS = {
+    "ior_small_posix_*": ["access_granularity"],
+    "ior_small_direct_*": ["access_granularity"],
+    "ior_misaligned_*": ["access_granularity"],
+    "ior_random_posix_*": ["access_pattern"],
+    "ior_random_small_*": ["access_pattern", "access_granularity"],
+    "ior_interface_posix_shared_*": ["interface_choice"],
+    "ior_interface_mpiio_indep_*": ["interface_choice"],
+    "ior_file_explosion_*": ["file_strategy"],
+    "ior_fsync_per_write_*": ["throughput_utilization"],
+    "ior_healthy_*": ["healthy"],
+    "mdtest_meta_*": ["metadata_intensity"],
+    "mdtest_deep_tree_*": ["metadata_intensity"],
+    "mdtest_fpp_*": ["file_strategy"],
+    "mdtest_healthy_*": ["healthy"],
+    "dlio_small_*": ["access_granularity"],
+    "dlio_ckpt_*": ["throughput_utilization"],
+    "dlio_healthy_*": ["healthy"],
+    "dlio_shuffle_*": ["access_pattern"],
+    "custom_imbalance_*": ["parallelism_efficiency"],
+    "custom_balanced_*": ["healthy"],
+    "ior_io500_hard_*": ["access_granularity", "interface_choice"],
+    "ior_io500_easy_*": ["healthy"],
+    "mdtest_io500_hard_*": ["metadata_intensity"],
+    "mdtest_io500_easy_*": ["healthy"],
+    "ior_e2e_posix_shared_*": ["interface_choice"],
+    "ior_e2e_mpiio_coll_*": ["healthy"],
+    "h5b_indep_small_n*": ["interface_choice"],
+    "h5b_interleaved_access_*": ["healthy"],
+    "h5b_collective_small_*": ["access_granularity"],
+    "h5b_collective_large_healthy_*": ["healthy"],
+    "h5b_indep_large_healthy_*": ["healthy"],
+    "h5b_indep_small_interleaved_*": ["access_granularity", "interface_choice"],
+    "h5b_indep_interleaved_*": ["interface_choice"],
+    "h5b_indep_small_single_ost_*": ["access_granularity", "interface_choice", "throughput_utilization"],
+    "hacc_posix_shared_large_*": ["interface_choice"],
+    "hacc_fpp_many_ranks_*": ["file_strategy"],
+    "hacc_posix_shared_single_ost_*": ["throughput_utilization"],
+    "hacc_mpiio_collective_healthy_*": ["healthy"],
+    "hacc_fpp_healthy_*": ["healthy"],
+    "hacc_posix_shared_small_p*": ["access_granularity", "interface_choice"],
+    "hacc_posix_shared_small_1ost_*": ["access_granularity", "interface_choice", "throughput_utilization"],
+    "hacc_fpp_small_many_*": ["file_strategy", "access_granularity"],
+    "hacc_posix_shared_many_single_ost_*": ["interface_choice", "throughput_utilization"],
+}
 # What an intended label must show, and what a log must hold to be looked at.
 CHECKS = {G: ("small_io_ratio", 0.3, 1.0), M: ("metadata_time_ratio", 0.05, 1.0), P: ("rank_bytes_cv", 0.2, 100.0), A: ("seq_write_ratio", 0.0, 0.7), H: ("small_io_ratio", 0.0, 0.3)}
 MIN_RUNTIME, MIN_BYTES, MIN_OPS, MIN_FILES, PASS_SHARE = 5.0, 10240, 100, 50, 0.8
 
 
 def pattern_dims(name: Column) -> Column:
-    """The labels of the first pattern that the lower-cased name matches, null if none."""
+    """The labels of the first pattern that the lower-cased name matches, null if none. A star stands for any characters."""
     low = F.lower(name)
-    return F.coalesce(*[F.when(low.startswith(prefix), F.array(*map(F.lit, dims))) for prefix, dims in PATTERNS])
+    return F.coalesce(*[F.when(low.like(glob.replace("_", r"\_").replace("*", "%")), F.array(*map(F.lit, dims))) for glob, dims in PATTERNS.items()])
 
 
 def benchmark_of(name: Column) -> Column:
@@ -45,9 +82,21 @@ def scenario_of(path: Column) -> Column:
 
 # Words in a log's name with the labels they show; the first that occurs holds.
 INFERRED = [
-    (["small_posix", "small_direct", "misaligned"], [G]), (["random_small"], [A, G]), (["random_posix"], [A]), (["interface_posix_shared", "interface_mpiio_indep"], [I]), (["file_explosion"], [S]), (["fsync_per_write"], [T]), (["healthy"], [H]),
-    (["meta_shared", "meta_unique", "meta_cross", "deep_tree"], [M]), (["fpp_explosion"], [S]), (["dlio_small"], [G]), (["dlio_ckpt", "checkpoint"], [T]), (["shuffle"], [A]), (["imbalance"], [P]), (["balanced"], [H]),
-]
+    (["small_posix", "small_direct", "misaligned"], ["access_granularity"]),
+    (["random_small"], ["access_pattern", "access_granularity"]),
+    (["random_posix"], ["access_pattern"]),
+    (["interface_posix_shared", "interface_mpiio_indep"], ["interface_choice"]),
+    (["file_explosion"], ["file_strategy"]),
+    (["fsync_per_write"], ["throughput_utilization"]),
+    (["healthy"], ["healthy"]),
+    (["meta_shared", "meta_unique", "meta_cross", "deep_tree"], ["metadata_intensity"]),
+    (["fpp_explosion"], ["file_strategy"]),
+    (["dlio_small"], ["access_granularity"]),
+    (["dlio_ckpt", "checkpoint"], ["throughput_utilization"]),
+    (["shuffle"], ["access_pattern"]),
+    (["imbalance"], ["parallelism_efficiency"]),
+    (["balanced"], ["healthy"]),
+]
 
 
 def inferred_dims(path: Column) -> Column:

@@ -99,8 +99,10 @@ def from_flags(flags: DataFrame, key: str) -> DataFrame:
     return flags.select(key, *[c.cast("int").alias(d) for d, c in dims.items()], (~F.greatest(*dims.values())).cast("int").alias("healthy"))
 
 
-def code_agreement(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """code, n_both, n_ours, n_theirs, agreement: fired codes (jobid, code) of two tools, over the jobs that either knows."""
-    both = ours.select("jobid", "code").distinct().withColumn("a", F.lit(1)).join(theirs.select("jobid", "code").distinct().withColumn("b", F.lit(1)), ["jobid", "code"], "full_outer")
+def code_agreement(ours: DataFrame, theirs: DataFrame, compared: DataFrame) -> DataFrame:
+    """code, n_both, n_ours, n_theirs, agreement: fired codes (jobid, code) of two tools over the compared jobs (jobid), those
+    that were sampled and that both tools know. A job outside that list is no mismatch."""
+    fired = lambda codes, mark: codes.select("jobid", "code").distinct().join(compared.select("jobid").distinct(), "jobid", "left_semi").withColumn(mark, F.lit(1))
+    both = fired(ours, "a").join(fired(theirs, "b"), ["jobid", "code"], "full_outer")
     n = both.groupBy("code").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), F.count_if(F.col("b").isNull()).alias("n_ours"), F.count_if(F.col("a").isNull()).alias("n_theirs"))
     return n.select("*", (F.col("n_both") / (F.col("n_both") + F.col("n_ours") + F.col("n_theirs"))).alias("agreement"))

@@ -76,25 +76,27 @@ FAILED = ["baseline_failed", "not_started"]
 
 
 def workload_metrics(runs: DataFrame) -> DataFrame:
-    """workload, model, n_valid, n_total, mean, std, median, min, max and geometric mean of best_speedup over valid runs, mean_iterations, mean_cost, total_cost, statuses."""
+    """workload, model, n_valid, n_total, mean, std, median, min, max and geometric mean of best_speedup over valid runs, mean_iterations, mean_cost, total_cost, statuses (of the valid runs, or of all if none is: an array of status and n)."""
     ok = ~F.col("status").isin(FAILED)
     v, some = F.when(ok, F.coalesce("best_speedup", F.lit(1.0))), lambda c: F.coalesce(c, F.lit(0.0))
     valid = lambda c: F.when(ok, F.col(c))
     out = runs.groupBy("workload", "model").agg(
         F.count_if(ok).alias("n_valid"), F.count("*").alias("n_total"), some(F.avg(v)).alias("mean"), some(F.stddev_pop(v)).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.exp(F.avg(F.when(ok, F.log(F.greatest(v, F.lit(0.01)))))).alias("geo_mean"), some(F.avg(valid("iterations"))).alias("mean_iterations"), some(F.avg(valid("cost"))).alias("mean_cost"), F.sum(valid("cost")).alias("total_cost"),
-        F.array_sort(F.collect_set("status")).alias("statuses"),
     )
-    return out
+    # A status and how many runs have it, as the runs themselves would be a list without bound.
+    counts = runs.groupBy("workload", "model", "status").agg(F.count("*").alias("n")).withColumn("s", F.struct("status", "n"))
+    told = counts.groupBy("workload", "model").agg(F.array_sort(F.collect_list(F.when(ok, F.col("s")))).alias("valid"), F.array_sort(F.collect_list("s")).alias("every"))
+    return out.join(told.select("workload", "model", F.when(F.size("valid") > 0, F.col("valid")).otherwise(F.col("every")).alias("statuses")), ["workload", "model"])
 
 
 def model_summary(runs: DataFrame) -> DataFrame:
-    """model, n_workloads, geometric mean, mean and std of best_speedup over all valid runs; iterations and cost averaged over workloads."""
+    """model, n_workloads, geometric mean, mean and std of best_speedup over all valid runs; iterations and cost averaged over workloads; total_cost, the sum of workloads' mean costs."""
     valid = runs.filter(~F.col("status").isin(FAILED)).withColumn("v", F.coalesce("best_speedup", F.lit(1.0)))
     # Sums of workloads add up, so the second grouping is over workloads, not runs.
     each = valid.groupBy("model", "workload").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"), F.sum(F.log(F.greatest("v", F.lit(0.01)))).alias("sl"), F.avg("iterations").alias("i"), F.avg("cost").alias("c"))
     n, mean = F.sum("n"), F.sum("s") / F.sum("n")
-    return each.groupBy("model").agg(F.count("*").alias("n_workloads"), F.exp(F.sum("sl") / n).alias("geo_mean"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("ss") / n - mean * mean, F.lit(0.0))).alias("std"), F.avg("i").alias("mean_iterations"), F.avg("c").alias("mean_cost"))
+    return each.groupBy("model").agg(F.count("*").alias("n_workloads"), F.exp(F.sum("sl") / n).alias("geo_mean"), mean.alias("mean"), F.sqrt(F.greatest(F.sum("ss") / n - mean * mean, F.lit(0.0))).alias("std"), F.avg("i").alias("mean_iterations"), F.avg("c").alias("mean_cost"), F.sum("c").alias("total_cost"))
 
 
 def ablation_metrics(runs: DataFrame) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ioloom.functions.counters import DIMENSIONS
@@ -15,6 +11,7 @@ from ioloom.plans.core import r6, register, rounded
 from ioloom.plans.sql import r6 as q6
 from ioloom.plans.stages import engineered, labelled
 from ioloom.sources import surrogate, text_logs
+from ioloom.sources.scratch import scratch_path
 from ioloom.streaming import ingest
 
 # ---- text scans: the lines of a log are made from the job tables, then read back
@@ -24,7 +21,7 @@ def _lines(spark, sf_dir):
     jobs = surrogate.jobs(spark, sf_dir)
     text = F.array(
         F.concat(F.lit("# jobid: "), F.col("jobid")), F.concat(F.lit("# uid: "), F.col("uid")), F.concat(F.lit("# start_time: "), F.col("start_time")), F.concat(F.lit("# start_time_asci: Mon 10:"), F.col("uid")), F.lit("# darshan log version: 3.41"), F.concat(F.lit("# agg_perf_by_slowest: "), F.col("uid"), F.lit(".25 # MiB/s")), F.concat(F.lit("# nprocs: "), F.col("nprocs")), F.concat(F.lit("# nprocs: 999"), F.col("uid")),
-        F.concat(F.lit("# run time: "), F.col("runtime")), F.lit("POSIX module: x ver=4"), F.when(F.col("jobid") % 2 == 0, "MPI-IO module data").otherwise("MPI-IO modules"), F.when(F.col("uid") % 3 == 0, "# mount entry:\t/scratch\tlustre").otherwise("# mount entry:\t/home\tnfs"),
+        F.concat(F.lit("# run time: "), F.col("runtime")), F.lit("# LUSTRE module: ver=1"), F.lit("POSIX module: x ver=4"), F.lit("POSIX module data"), F.lit("NCMPI module: ver=2"), F.when(F.col("jobid") % 2 == 0, "MPI-IO module data").otherwise("MPI-IO modules"), F.when(F.col("uid") % 3 == 0, "# mount entry:\t/scratch\tlustre").otherwise("# mount entry:\t/home\tnfs"),
         F.concat(F.lit("total_POSIX_READS: "), F.col("uid")), F.concat(F.lit("total_POSIX_F_READ_TIME: 1.5e"), F.col("nprocs") % 3), F.concat(F.lit("total_POSIX_READS: "), F.col("nprocs")), F.concat(F.lit("Max Write: "), F.col("uid"), F.lit(".5 MiB/s")), F.concat(F.lit("done, exit code: "), F.col("uid") % 2),
     )
     return jobs.select(F.concat(F.lit("log"), F.col("jobid")).alias("file"), F.posexplode(text).alias("line_no", "value"))
@@ -40,15 +37,22 @@ def a2(spark, sf_dir):
     return text_logs.pivot_totals(text_logs.totals(_lines(spark, sf_dir)), ["POSIX_READS", "POSIX_F_READ_TIME", "agg_perf_mib_s"])
 
 
-@register("A3_A4_modules_mounts", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, CASE WHEN jobid % 2 = 0 THEN 'MPI-IO,POSIX' ELSE 'POSIX' END AS modules, uid % 3 = 0 AS uses_lustre, CASE WHEN uid % 3 = 0 THEN '/scratch' END AS lustre_mount FROM jobs")
+@register("A3_A4_modules_mounts", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, CASE WHEN jobid % 2 = 0 THEN 'POSIX,LUSTRE,MPI-IO' ELSE 'POSIX,LUSTRE' END AS modules, uid % 3 = 0 AS uses_lustre, CASE WHEN uid % 3 = 0 THEN '/scratch' END AS lustre_mount FROM jobs")
 def a3(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return text_logs.modules(lines).join(text_logs.mounts(lines), "file").select("file", F.array_join("modules", ",").alias("modules"), "uses_lustre", "lustre_mount")
 
 
-@register("A16_tool_results", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, uid + 0.5 AS max_write_mib_s, CAST(uid % 2 AS DOUBLE) AS exit_code FROM jobs")
+@register("A16_tool_results", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, uid + 0.5 AS ior_write_bw_mibs, CASE WHEN uid % 3 = 0 THEN CAST(uid AS DOUBLE) END AS ior_read_bw_mibs, 1.25 + uid AS hacc_write_time_s, uid * 8 AS hacc_total_bytes, CAST(nprocs AS DOUBLE) AS custom_runtime_s, CAST(uid AS DOUBLE) AS h5bench_write_rate, nprocs + 0.5 AS h5bench_read_rate, uid % 2 AS h5bench_write_rc, uid + 0.125 AS dlio_throughput_samples_s, CASE WHEN uid % 5 > 0 THEN uid + 0.75 END AS dlio_epoch_time_s FROM jobs")
 def a16(spark, sf_dir):
-    return text_logs.tool_results(_lines(spark, sf_dir)).select("file", "max_write_mib_s", "exit_code")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    u, n = F.col("uid"), F.col("nprocs")
+    text = F.array(
+        say("Max Write: 7 MiB/s"), say("  Max Write: ", u, ".5 MiB/s (x)"), F.when(u % 3 == 0, say("Max Read:  ", u, " MiB/s")).otherwise("Max Read: none"), say("Checkpoint WRITE: 1 seconds"), say("Checkpoint write took ", u + 1, ".25 seconds"), say("Total ", u * 8, " bytes moved"), say("Elapsed ", n, " s"),
+        say("Write rate: 3 MB/s"), say("write completed, rate ", u, " MiB/s, exit code: ", u % 2), say("Read rate: ", n, ".5 MB/s"), say("Throughput: 2 it/s"), say("Throughput: ", u, ".125 samples/s"), F.when(u % 5 > 0, say("Epoch 3 time ", u, ".75 sec")).otherwise("epoch times unknown"),
+    )
+    lines = surrogate.jobs(spark, sf_dir).select(F.concat(F.lit("log"), F.col("jobid")).alias("file"), F.posexplode(text).alias("line_no", "value"))
+    return text_logs.tool_results(lines)
 
 
 # ---- ground truth
@@ -229,8 +233,7 @@ def k18(spark, sf_dir):
 
 
 def _paths(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "stream")
     return f"{path}/rows", f"{path}/state"
 
 

@@ -91,13 +91,16 @@ def e30(spark, sf_dir):
     return rules.from_flags(flags, "jobid")
 
 
-@register("E29_code_agreement", f"WITH {sql.LABELS} " + " UNION ALL ".join(f"SELECT '{c}' AS code, count(*) FILTER ({c} = 1 AND _jobid % 3 <> 0) AS n_both, count(*) FILTER ({c} = 1 AND _jobid % 3 = 0) AS n_ours, count(*) FILTER ({c} = 0 AND _jobid % 50 = 0) AS n_theirs, {q6(f'count(*) FILTER ({c} = 1 AND _jobid % 3 <> 0) / CAST(count(*) FILTER ({c} = 1 OR _jobid % 50 = 0 AND {c} = 0) AS DOUBLE)')} AS agreement FROM labels_" for c in ("P05", "P17", "M02")))
+_RULE_CODES = "S01 P01 P02 P03 P04 P05 P06 P07 P08 P09 P10 P11 P12 P13 P14 P15 P16 P17 P18 P19 P21 P22 M01 M02 M03 M04 M05 M06 M07 M08 M09 M10".split()
+
+
+@register("E29_code_agreement", f"WITH {sql.LABELS}, s AS (SELECT * FROM labels_ WHERE _jobid % 5 = 1 AND _jobid % 7 <> 2), a AS (" + " UNION ALL ".join(f"SELECT '{c}' AS code, count(*) FILTER ({c} = 1 AND _jobid % 3 <> 0) AS n_both, count(*) FILTER ({c} = 1 AND _jobid % 3 = 0) AS n_ours, count(*) FILTER ({c} = 0 AND _jobid % 50 = 1) AS n_theirs FROM s" for c in _RULE_CODES) + f") SELECT *, {q6('n_both / CAST(n_both + n_ours + n_theirs AS DOUBLE)')} AS agreement FROM a WHERE n_both + n_ours + n_theirs > 0")
 def e29(spark, sf_dir):
-    codes = ["P05", "P17", "M02"]
-    long = labelled(spark, sf_dir).select(F.col("_jobid").alias("jobid"), *codes).unpivot(["jobid"], codes, "code", "on")
-    ours = long.filter("on = 1")
-    theirs = long.filter("(on = 1 and jobid % 3 <> 0) or (on = 0 and jobid % 50 = 0)")
-    return rules.code_agreement(ours, theirs).select("code", "n_both", "n_ours", "n_theirs", *rounded("agreement"))
+    long = labelled(spark, sf_dir).select(F.col("_jobid").alias("jobid"), *_RULE_CODES).unpivot(["jobid"], _RULE_CODES, "code", "on")
+    theirs = long.filter("(on = 1 and jobid % 3 <> 0) or (on = 0 and jobid % 50 = 1)")
+    sampled = surrogate.jobs(spark, sf_dir).filter("jobid % 5 = 1 and jobid % 7 <> 2").select("jobid")
+    compared = sampled.join(surrogate.records(spark, sf_dir, []).select("jobid"), "jobid", "left_semi")
+    return rules.code_agreement(long.filter("on = 1"), theirs, compared).select("code", "n_both", "n_ours", "n_theirs", *rounded("agreement"))
 
 
 # ---- paths and job output
@@ -117,23 +120,39 @@ def b13(spark, sf_dir):
     return text_logs.by_job(paths, "path").select("o_orderkey", "job")
 
 
-@register("A18_inventory", "WITH f AS (SELECT make_date(CAST(2020 + o_orderkey % 5 AS BIGINT), CAST(1 + o_orderkey % 12 AS BIGINT), CAST(1 + o_orderkey % 28 AS BIGINT)) AS d, o_custkey AS b FROM orders), g AS (SELECT d, count(*) AS n, sum(b) AS b FROM f GROUP BY d), s AS (SELECT CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM g) SELECT s.d AS log_date, coalesce(n, 0) AS n_files, CAST(coalesce(b, 0) AS BIGINT) AS bytes FROM s LEFT JOIN g ON s.d = g.d")
+@register("A18_inventory", "WITH f AS (SELECT make_date(CAST(2020 + o_orderkey % 5 AS BIGINT), CAST(1 + o_orderkey % 12 AS BIGINT), CAST(1 + o_orderkey % 28 AS BIGINT)) AS d, o_custkey AS b FROM orders), g AS (SELECT d, count(*) AS n, sum(b) AS b FROM f GROUP BY d), s AS (SELECT CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM g) SELECT year(s.d) AS year, month(s.d) AS month, s.d AS log_date, coalesce(n, 0) AS n_files, CAST(coalesce(b, 0) AS BIGINT) AS bytes FROM s LEFT JOIN g ON s.d = g.d")
 def a18(spark, sf_dir):
     files = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr(_PATH.format(k="o_orderkey")).alias("path"), F.col("o_custkey").alias("bytes"))
     return text_logs.inventory(files, "path", "bytes")
 
 
-@register("A17_A19_job_output", "SELECT 'ior_small_' || o_orderkey || '.out' AS file, 'ior_small' AS scenario, 'a=' || (o_orderkey % 2) AS label, o_custkey % 2 AS exit_code, o_orderkey AS started, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 60 END AS ended FROM orders")
+@register("A18_inventory_totals", "WITH f AS (SELECT make_date(CAST(2020 + o_orderkey % 5 AS BIGINT), CAST(1 + o_orderkey % 12 AS BIGINT), CAST(1 + o_orderkey % 28 AS BIGINT)) AS d, o_custkey AS b FROM orders), s AS (SELECT CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM f), a AS (SELECT d, b, 1 AS n FROM f UNION ALL SELECT d, 0, 0 FROM s) SELECT year(d) AS year, month(d) AS month, CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(b) AS BIGINT) AS bytes, count(DISTINCT d) FILTER (n = 1) AS n_days, min(d) FILTER (n = 1) AS first_day, max(d) FILTER (n = 1) AS last_day FROM a GROUP BY ROLLUP (year(d), month(d))")
+def a18_totals(spark, sf_dir):
+    return text_logs.inventory_totals(a18(spark, sf_dir))
+
+
+_OUTPUT_SQL = "SELECT {k} AS k, 'a=' || ({k} % 2) AS label, {u} % 2 AS exit_code, '2026-01-02 0' || ({k} % 10) || ':00:00' AS start_time, CASE WHEN {k} % 3 <> 0 THEN 'day ' || {k} END AS end_time"
+
+
+def job_output(k, u):
+    """The lines of a job's output, as an array: the last exit code that is a number, the last start and end hold."""
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.array(
+        say("E2E small - other - 1999"), say("  E2E ", k, " - b - 2026-01-02 0", k % 10, ":00:00 "), say("Label: a=", k % 2), say("Label: b=1"), say("note: E2E - no start"), say("done, Exit code: 9"), say("srun: task 0: Exit code: ", u % 2), say("Exit code: none"),
+        F.when(k % 3 != 0, say("run Completed: day 0 Completed: day ", k)).otherwise("completed: day 5"), say("exit code: 7"),
+    )
+
+
+@register("A17_A19_job_output", f"SELECT 'ior_small_' || k || '.out' AS file, 'ior_small' AS scenario, label, exit_code, start_time, end_time FROM ({_OUTPUT_SQL.format(k='o_orderkey', u='o_custkey')} FROM orders)")
 def a17(spark, sf_dir):
-    k = F.col("o_orderkey")
-    text = F.array(F.concat(F.lit("Start: "), k), F.concat(F.lit("  Label: a="), k % 2), F.lit("Label: b=1"), F.lit("Exit code: 9"), F.concat(F.lit("exit code: "), F.col("o_custkey") % 2), F.when(k % 3 != 0, F.concat(F.lit("End: "), k + 60)).otherwise("Ending: 5"))
-    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("ior_small_"), k, F.lit(".out")).alias("file"), F.posexplode(text).alias("line_no", "value"))
+    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("ior_small_"), F.col("o_orderkey"), F.lit(".out")).alias("file"), F.posexplode(job_output(F.col("o_orderkey"), F.col("o_custkey"))).alias("line_no", "value"))
     return text_logs.job_labels(lines).join(text_logs.run_timing(lines), "file")
 
 
-@register("A11_missing_chunks", "WITH e AS (SELECT unnest(generate_series(0, 6999)) AS chunk) SELECT chunk FROM e WHERE chunk NOT IN (SELECT o_orderkey % 7001 FROM orders)")
+@register("A11_missing_chunks", "WITH e AS (SELECT unnest(generate_series(0, 6999)) AS chunk) SELECT chunk FROM e WHERE chunk NOT IN (SELECT o_orderkey % 7001 FROM orders WHERE o_orderkey % 7001 % 13 <> 4)")
 def a11(spark, sf_dir):
-    return text_logs.missing_chunks(spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 7001).alias("chunk")), "chunk", 7000)
+    chunk = F.col("o_orderkey") % 7001
+    return text_logs.missing_chunks(spark.read.parquet(f"{sf_dir}/orders.parquet").filter(chunk % 13 != 4).select(chunk.alias("chunk")), "chunk", 7000)
 
 
 # ---- small transforms
@@ -270,14 +289,14 @@ def n7(spark, sf_dir):
     return _runs(spark, sf_dir).groupBy(runs.category(F.col("file_name")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@register("N8_workload_metrics", f"WITH r AS ({_RUN.format(orders='orders')}), v AS (SELECT * FROM r WHERE status <> 'baseline_failed') SELECT workload, model, count(*) AS n_valid, (SELECT count(*) FROM r x WHERE x.workload = v.workload AND x.model = v.model) AS n_total, {q6(f'avg({_V})')} AS mean, {q6(f'stddev_pop({_V})')} AS std, {q6(f'median({_V})')} AS median, min({_V}) AS min, max({_V}) AS max, {q6(f'exp(avg(ln(greatest({_V}, 0.01))))')} AS geo_mean, {q6('avg(iterations)')} AS mean_iterations, {q6('avg(cost)')} AS mean_cost, {q6('sum(cost)')} AS total_cost FROM v GROUP BY workload, model")
+@register("N8_workload_metrics", f"WITH r AS ({_RUN.format(orders='orders')}), v AS (SELECT * FROM r WHERE status <> 'baseline_failed') SELECT workload, model, count(*) AS n_valid, (SELECT count(*) FROM r x WHERE x.workload = v.workload AND x.model = v.model) AS n_total, {q6(f'avg({_V})')} AS mean, {q6(f'stddev_pop({_V})')} AS std, {q6(f'median({_V})')} AS median, min({_V}) AS min, max({_V}) AS max, {q6(f'exp(avg(ln(greatest({_V}, 0.01))))')} AS geo_mean, {q6('avg(iterations)')} AS mean_iterations, {q6('avg(cost)')} AS mean_cost, {q6('sum(cost)')} AS total_cost, (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM v y WHERE y.workload = v.workload AND y.model = v.model GROUP BY status)) AS statuses FROM v GROUP BY workload, model")
 def n8(spark, sf_dir):
-    return runs.workload_metrics(_runs(spark, sf_dir)).select("workload", "model", "n_valid", "n_total", *rounded("mean", "std", "median"), "min", "max", *rounded("geo_mean", "mean_iterations", "mean_cost", "total_cost"))
+    return runs.workload_metrics(_runs(spark, sf_dir)).select("workload", "model", "n_valid", "n_total", *rounded("mean", "std", "median"), "min", "max", *rounded("geo_mean", "mean_iterations", "mean_cost", "total_cost"), F.array_join(F.transform("statuses", lambda s: F.concat_ws(":", s["status"], s["n"].cast("string"))), ",").alias("statuses"))
 
 
-@register("N9_model_summary", f"WITH r AS ({_RUN.format(orders='orders')}), v AS (SELECT * FROM r WHERE status <> 'baseline_failed'), w AS (SELECT model, workload, avg(iterations) AS i, avg(cost) AS c FROM v GROUP BY 1, 2), m AS (SELECT model, count(*) AS n_workloads, avg(i) AS i, avg(c) AS c FROM w GROUP BY 1), a AS (SELECT model, exp(avg(ln(greatest({_V}, 0.01)))) AS g, avg({_V}) AS mean, stddev_pop({_V}) AS std FROM v GROUP BY 1) SELECT m.model, n_workloads, {q6('g')} AS geo_mean, {q6('mean')} AS mean, {q6('std')} AS std, {q6('i')} AS mean_iterations, {q6('c')} AS mean_cost FROM m JOIN a ON m.model = a.model")
+@register("N9_model_summary", f"WITH r AS ({_RUN.format(orders='orders')}), v AS (SELECT * FROM r WHERE status <> 'baseline_failed'), w AS (SELECT model, workload, avg(iterations) AS i, avg(cost) AS c FROM v GROUP BY 1, 2), m AS (SELECT model, count(*) AS n_workloads, avg(i) AS i, avg(c) AS c, sum(c) AS t FROM w GROUP BY 1), a AS (SELECT model, exp(avg(ln(greatest({_V}, 0.01)))) AS g, avg({_V}) AS mean, stddev_pop({_V}) AS std FROM v GROUP BY 1) SELECT m.model, n_workloads, {q6('g')} AS geo_mean, {q6('mean')} AS mean, {q6('std')} AS std, {q6('i')} AS mean_iterations, {q6('c')} AS mean_cost, {q6('t')} AS total_cost FROM m JOIN a ON m.model = a.model")
 def n9(spark, sf_dir):
-    return runs.model_summary(_runs(spark, sf_dir)).select("model", "n_workloads", *rounded("geo_mean", "mean", "std", "mean_iterations", "mean_cost"))
+    return runs.model_summary(_runs(spark, sf_dir)).select("model", "n_workloads", *rounded("geo_mean", "mean", "std", "mean_iterations", "mean_cost", "total_cost"))
 
 
 @register("N9_ablation_metrics", f"WITH r AS ({_RUN.format(orders='orders')}), v AS (SELECT CASE file_name WHEN 'ablation_no_ml_ior.json' THEN 'no_ml' WHEN 'ablation_full_ior_x.json' THEN 'full' WHEN 'ablation_single_shot_ior.json' THEN 'single_shot' ELSE 'unknown' END AS condition, {_V} AS v FROM r WHERE status <> 'baseline_failed' AND starts_with(file_name, 'ablation_')) SELECT condition, count(*) AS n_runs, {q6('avg(v)')} AS mean, {q6('stddev_pop(v)')} AS std, {q6('exp(avg(ln(greatest(v, 0.01))))')} AS geo_mean FROM v GROUP BY 1")
