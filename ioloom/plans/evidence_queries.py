@@ -179,39 +179,11 @@ def n14(spark, sf_dir):
 
 # ---- models
 
-_FEATURES = ["nprocs", "runtime_seconds", "POSIX_BYTES_READ", "POSIX_READS", "read_ratio", "small_io_ratio", "seq_read_ratio", "metadata_time_ratio", "byte_imbalance"]
-
-
-def _table(spark, sf_dir):
-    from ioloom.operators import rules
-
-    return rules.labelled(engineered(spark, sf_dir), keep=_FEATURES).select("_jobid", "label_source", *_FEATURES, *DIMENSIONS)
-
-
 @register("K1_class_weights", f"WITH {sql.LABELS} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {q6(f'CASE WHEN sum({d}) = 0 THEN 1 ELSE least((count(*) - sum({d})) / CAST(sum({d}) AS DOUBLE), 100) END')} AS weight FROM labels_" for d in DIMENSIONS))
 def k1(spark, sf_dir):
     return models.class_weights(labelled(spark, sf_dir), DIMENSIONS).select("dimension", *rounded("weight"))
 
 
-@register("K3_K8_boosted_trees")
-def k3(spark, sf_dir):
-    t = _table(spark, sf_dir).persist()
-    fitted = models.fit(t.filter("_jobid % 4 <> 0"), _FEATURES, DIMENSIONS)
-    return models.score(t.filter("_jobid % 4 = 0"), fitted, DIMENSIONS).select("_jobid", *[f"prob_{d}" for d in DIMENSIONS], "detected")
-
-
-@register("K5_K15_forest_importances")
-def k5(spark, sf_dir):
-    t = _table(spark, sf_dir).persist()
-    return spark.createDataFrame(models.importances(models.fit(t, _FEATURES, DIMENSIONS, "forest"), _FEATURES), "dimension string, feature string, importance double, place int")
-
-
-@register("K7_linear")
-def k7(spark, sf_dir):
-    t = _table(spark, sf_dir).persist()
-    return models.score(t, models.fit(t, _FEATURES, DIMENSIONS, "linear"), DIMENSIONS, 0.5).select("_jobid", "detected")
-
-
 @register("K17_majority", f"WITH {sql.LABELS} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST(avg({d}) > 0.5 AS INT) AS predicted FROM labels_" for d in DIMENSIONS))
 def k17(spark, sf_dir):
     return models.majority_baseline(labelled(spark, sf_dir), DIMENSIONS)
