@@ -17,7 +17,7 @@ from functools import lru_cache
 
 #: Bytes that an encoder's words take in a worker process at most: a quarter for each of its two dictionaries and what
 #: each held at its last turn.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 448 << 20
 #: What a word takes beside its letters and ids: two objects and their place in a dictionary.
 ENTRY_BYTES = 220
 #: Longer words are encoded each time.
