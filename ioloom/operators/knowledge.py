@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ioloom.operators.relate import overlap_join
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Mean over keys of both maps, not 0 in both, of the smaller over the larger absolute value; 0 without such keys."""
-    both = F.filter(F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.struct(F.abs(x).alias("x"), F.abs(y).alias("y")))), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ((p["x"] != 0) | (p["y"] != 0)))
-    parts = F.transform(both, lambda p: F.least(p["x"], p["y"]) / F.greatest(p["x"], p["y"], F.lit(1e-9)))
-    return F.when(F.size(parts) == 0, 0.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.size(parts))
-
 
 def signed_similarity(query: Column, entry: Column) -> Column:
-    """As similarity, over keys where the query isn't 0, with signs kept."""
+    """Mean over keys of both maps where the query isn't 0 of the smaller over the larger value; 0 without such keys."""
     both = F.filter(F.map_values(F.map_zip_with(query, entry, lambda _, x, y: F.struct(x.alias("x"), y.alias("y")))), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (p["x"] != 0))
     parts = F.transform(both, lambda p: F.least(p["x"], p["y"]) / F.greatest(p["x"], p["y"], F.lit(1e-9)))
     return F.when(F.size(parts) == 0, 0.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.size(parts))
 
 
-def retrieve(jobs: DataFrame, kb: DataFrame, k: int = 3, guard: Column | None = None) -> DataFrame:
-    """job_id, entry_id, matched, similarity, place: the k best entries that share a dimension with the job.
-
-    jobs: job_id, dims, signature; kb: entry_id, dims, signature, ordinal. Order: shared dimensions,
-    then similarity rounded to 4 places, then the knowledge base's order. guard drops pairs (over
-    columns job_scenario and scenario) that would leak the answer.
-    """
-    pairs = overlap_join(jobs, kb, "dims", "job_id", "entry_id")
-    j = jobs.select("job_id", F.col("signature").alias("a"), *[F.col(c).alias(f"job_{c}") for c in ("scenario",) if c in jobs.columns])
-    rows = pairs.join(j, "job_id").join(kb.select("entry_id", F.col("signature").alias("b"), "ordinal", *[c for c in ("scenario",) if c in kb.columns]), "entry_id")
-    rows = rows.filter(guard) if guard is not None else rows
-    rows = rows.withColumn("similarity", F.round(similarity(F.col("a"), F.col("b")), 4))
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("matched"), F.desc("similarity"), "ordinal"))
-    return rows.withColumn("place", place).filter(F.col("place") <= k).select("job_id", "entry_id", "matched", "similarity", "place")
-
-
 def json_in_text(text: Column, schema: str) -> Column:
     """A JSON object in a reply: the whole text, a fenced block, or the span from the first to the last brace."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
@@ -89,23 +64,3 @@ def token_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
 
 def cache_key(*parts: Column) -> Column:
     return F.md5(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]))
-
-
-def keyword_dims(text: Column, words: dict[str, list[str]]) -> Column:
-    """Dimensions of which some keyword occurs in the lower-cased text, in the order of words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(_any(low, ws), F.lit(d)) for d, ws in words.items()]))
-
-
-def _any(low: Column, words: list[str]) -> Column:
-    out = low.contains(words[0])
-    for w in words[1:]:
-        out = out | low.contains(w)
-    return out
-
-
-def positive_paragraph_dims(df: DataFrame, key: str, text: str, words: dict[str, list[str]], negations: str, positives: str, least: int = 20) -> DataFrame:
-    """key, dims found in paragraphs that are long enough and not negated without a positive cue."""
-    p = df.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n|\n")).alias("p")).filter(F.length("p") >= least)
-    p = p.filter(~F.lower("p").rlike(negations) | F.lower("p").rlike(positives)).select(key, F.explode(keyword_dims(F.col("p"), words)).alias("dim"))
-    return p.groupBy(key).agg(F.array_sort(F.collect_set("dim")).alias("dims"))

@@ -79,25 +79,6 @@ def f3(spark, sf_dir):
 
 # ---- retrieval
 
-_SIG = ["read_ratio", "small_io_ratio", "seq_read_ratio", "metadata_time_ratio"]
-_SIM = " + ".join(f"CASE WHEN a.{c} <> 0 OR b.{c} <> 0 THEN least(abs(a.{c}), abs(b.{c})) / greatest(abs(a.{c}), abs(b.{c}), 1e-9) ELSE 0 END" for c in _SIG)
-_NK = " + ".join(f"CAST(a.{c} <> 0 OR b.{c} <> 0 AS INT)" for c in _SIG)
-_SHARE = " + ".join(f"a.{d} * b.{d}" for d in DIMENSIONS)
-
-
-@register("M4_M6_retrieval", f"""WITH {sql.LABELS}, s AS MATERIALIZED (SELECT _jobid, {', '.join(DIMENSIONS)}, {', '.join(f'floor({c} * 10000 + 0.5) / 10000 AS {c}' for c in _SIG)} FROM labels_),
-p AS (SELECT a._jobid AS job_id, b._jobid AS entry_id, {_SHARE} AS matched, round(coalesce(({_SIM}) / nullif({_NK}, 0), 0), 4) AS similarity FROM s a, s b WHERE a._jobid % 100 = 0 AND {_SHARE} > 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY matched DESC, similarity DESC, entry_id) AS place FROM p) SELECT job_id, place, entry_id, matched, similarity FROM o WHERE place <= 3""")
-def m4(spark, sf_dir):
-    from ioloom.operators import rules
-
-    signature = F.map_from_arrays(F.array(*map(F.lit, _SIG)), F.array(*[F.floor(F.col(c) * 10000 + 0.5) / 10000 for c in _SIG])).alias("signature")
-    rows = rules.labelled(engineered(spark, sf_dir), keep=_SIG)
-    rows = rows.select(F.col("_jobid").alias("job_id"), F.array_compact(F.array(*[F.when(F.col(d) == 1, F.lit(d)) for d in DIMENSIONS])).alias("dims"), signature).persist()
-    kb = rows.select(F.col("job_id").alias("entry_id"), "dims", "signature", F.col("job_id").alias("ordinal"))
-    asked = rows.filter("job_id % 100 = 0").select("job_id", "dims", "signature")
-    return knowledge.retrieve(asked, kb, 3).select("job_id", "place", "entry_id", "matched", "similarity")
-
 
 @register("M3_entries_per_dimension", f"WITH {sql.LABELS} " + " UNION ALL ".join(f"SELECT '{d}' AS dim, _benchmark AS benchmark, count(*) AS n FROM labels_ WHERE {d} = 1 GROUP BY _benchmark" for d in DIMENSIONS))
 def m3(spark, sf_dir):
@@ -117,16 +98,6 @@ def m10(spark, sf_dir):
     return e.select("event_id", knowledge.json_in_text(text, "value double")["value"].alias("value"), "form")
 
 
-#: Words that occur in the test texts, standing in for the phrases of each dimension.
-WORDS = {"access_granularity": ["inter", "small"], "metadata_intensity": ["stat", "open"], "access_pattern": ["random", "ering"]}
-
-
-@register("M18_keyword_dims", "SELECT doc_id, " + ", ".join("(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f") AS {d}" for d, ws in WORDS.items()) + " FROM documents")
-def m18(spark, sf_dir):
-    found = knowledge.keyword_dims(F.col("text"), WORDS)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", found.alias("d")).select("doc_id", *[F.array_contains("d", d).alias(d) for d in WORDS])
-
-
 # ---- runs
 
 _R = f"r AS ({surrogate.RUNS_SQL.format(orders='orders')})"

@@ -92,6 +92,6 @@ def label_rates(spark, sf_dir):
 assert all(rule_of(c) != "top4" or c in _PLACES for c in MODULE_OF)
 
 # The other query modules register theirs on import.
-from ioloom.plans import claim_queries, evidence_queries, feature_queries, file_queries, label_queries, metric_queries, model_queries  # noqa: E402, F401
+from ioloom.plans import claim_queries, diagnosis_queries, evidence_queries, feature_queries, file_queries, label_queries, metric_queries, model_queries  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

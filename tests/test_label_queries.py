@@ -12,7 +12,7 @@ from ioloom.plans.queries import ORACLES, QUERIES
 from ioloom.sources import text_logs
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["F2_F7_inferred_labels", "F8_label_strings", "E30_rule_flags", "A1_headers", "A2_A5_totals_pivot", "A8_path_columns", "A11_missing_chunks", "A17_A19_job_output", "A18_inventory", "A18_inventory_totals", "A3_A4_modules_mounts", "A16_tool_results", "A1_A5_A7_A9_log_files", "A7_capped_files", "A17_A19_output_files", "E29_code_agreement", "B13_logs_by_job", "J9_mapped_codes", "K11_seed_runs", "K14_label_noise", "K14_confident_joint", "L18_left_out_threshold", "L22_agreement_buckets", "L23_leaderboard", "M11_groundedness", "M15_claim_statistics", "M23_token_cost", "N1_pair_speedups", "N7_run_categories", "N8_workload_metrics", "N9_model_summary", "N9_ablation_metrics", "N14_size_strings"]
+NAMES = ["F2_F7_inferred_labels", "F8_label_strings", "E30_rule_flags", "A1_headers", "A2_A5_totals_pivot", "A8_path_columns", "A11_missing_chunks", "A17_A19_job_output", "A18_inventory", "A18_inventory_totals", "A3_A4_modules_mounts", "A16_tool_results", "A1_A5_A7_A9_log_files", "A7_capped_files", "A17_A19_output_files", "E29_code_agreement", "B13_logs_by_job", "J9_mapped_codes", "K11_seed_runs", "K14_label_noise", "K14_confident_joint", "L18_left_out_threshold", "L22_agreement_buckets", "L23_leaderboard", "M11_groundedness", "M12_M13_atomic_claims", "M14_hallucinations", "M15_claims_of_models", "M18_phrase_dims", "M19_paragraph_dims", "M20_report_dims", "M1_knowledge_base", "M2_exported_entries", "M4_M6_retrieval", "M22_diagnoses", "M15_claim_statistics", "M23_token_cost", "N1_pair_speedups", "N7_run_categories", "N8_workload_metrics", "N9_model_summary", "N9_ablation_metrics", "N14_size_strings"]
 
 
 def plain(v):
