@@ -3,7 +3,6 @@ summed, and only rows of one bucket meet in a task."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,39 +38,51 @@ def running(counts: DataFrame, by: str, value: str, sums: list[str]) -> DataFram
     return out.select(*counts.columns, *[(F.col(f"_{s}") + _below(s, [by, "_b"], value)).alias(f"{s}_below") for s in sums], *[f"{s}_all" for s in sums])
 
 
+def kept(short: DataFrame) -> DataFrame:
+    """short, a table of as many rows as groups and shares ask for, computed now: what follows plans and runs it once."""
+    return short.sparkSession.createDataFrame(short.toArrow(), short.schema)
+
+
 def settled(short: DataFrame, held: DataFrame) -> DataFrame:
-    """short, a table of as many rows as a schema has columns or so, computed now; held, persisted for it, is released."""
-    rows = short.collect()
+    """short, computed now; held, persisted for it, is released."""
+    out = kept(short)
     held.unpersist()
-    return short.sparkSession.createDataFrame(rows, short.schema)
+    return out
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float], few: bool = False) -> DataFrame:
     """by, q: exact interpolated percentiles of value in each group, in the order of shares; groups without a value have no row.
 
-    Equal values are counted first. Each sought rank is found in a step of the logarithm, then in one of 4096 even slots of
-    that step, and only the values of such slots are ordered. few: the groups are a short list, as the columns of a
-    table are, so the cuts (two a share and group) may be broadcast and the result is computed at once; the plan of rows
-    would else be planned eight times over.
+    Each sought rank is found in a step of the logarithm, then in one of 4096 even slots of that step, and only the values of
+    such slots are ordered. few: the groups are a short list, as the columns of a table are, so steps, slots and what
+    they hold (two a share and group) are short too: they are counted where the rows lie, by partial sums, and broadcast; only
+    the values of sought slots are shuffled, and the result is computed at once. Otherwise equal values are counted
+    first, and counts are shuffled.
     """
     small = F.broadcast if few else lambda df: df
     g, b, slot = ["_g"], ["_g", "_b"], ["_g", "_b", "_slot"]
     inside = (F.col("_rank") >= F.col("_at")) & (F.col("_rank") < F.col("_at") + F.col("_n"))
     at = rows.select(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    at = at.groupBy("_g", "_v").agg(F.count("*").alias("_n")).withColumn("_b", step(F.col("_v")))
-    at = at.persist(StorageLevel.DISK_ONLY) if few else at
-
+    if few:
+        at = at.select("*", F.lit(1).cast("bigint").alias("_n"), step(F.col("_v")).alias("_b"))
+    else:
+        at = at.groupBy("_g", "_v").agg(F.count("*").alias("_n")).withColumn("_b", step(F.col("_v")))
     hist = at.groupBy(*b).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     hist = hist.withColumn("_at", _below("_n", g, "_b")).withColumn("_last", F.sum("_n").over(Window.partitionBy(*g)) - 1)
     sought = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), cut(F.col("_last") * s).alias("_rank")) for i, s in enumerate(shares) for up, cut in ((False, F.floor), (True, F.ceil))])
     found = hist.withColumn("x", F.explode(sought)).select("*", "x.*").filter(inside).select(*b, "_lo", "_hi", "_last", "i", "up", (F.col("_rank") - F.col("_at")).alias("_rank"))
+    found = kept(found) if few else found
 
     even = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLOTS)).otherwise(0)
     near = at.join(small(found.select(*b, "_lo", "_hi").distinct()), b).select(*b, even.alias("_slot"), "_v", "_n")
-    fine = near.groupBy(*slot).agg(F.sum("_n").alias("_n")).withColumn("_at", _below("_n", b, "_slot"))
+    fine = near.groupBy(*slot).agg(F.sum("_n").alias("_n"))
+    fine = fine.withColumn("_at", _below("_n", b, "_slot"))
     found = fine.join(small(found), b).filter(inside).select(*slot, "_last", "i", "up", (F.col("_rank") - F.col("_at")).alias("_rank"))
+    found = kept(found) if few else found
 
-    last = near.join(small(found.select(*slot).distinct()), slot).withColumn("_at", _below("_n", slot, "_v"))
+    last = near.join(small(found.select(*slot).distinct()), slot)
+    last = last.groupBy(*slot, "_v").agg(F.sum("_n").alias("_n")) if few else last
+    last = last.withColumn("_at", _below("_n", slot, "_v"))
     hits = last.join(small(found), slot).filter(inside)
     picked = lambda i, up: F.max(F.when((F.col("i") == i) & (F.col("up") == up), F.col("_v")))
     ends = hits.groupBy("_g").agg(F.max("_last").alias("_last"), *[picked(i, up).alias(f"_{i}{up}") for i in range(len(shares)) for up in (False, True)])
@@ -81,4 +92,4 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float],
         return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
 
     out = ends.select("_g.*", F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
-    return settled(out, at) if few else out
+    return kept(out) if few else out

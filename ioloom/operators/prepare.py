@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ def log10_clipped(c: Column) -> Column:
 
 def fit_robust(train: DataFrame, columns: list[str]) -> DataFrame:
     """feature, center (median), scale (interquartile range, 1 where it is 0) of log1p of the training rows."""
-    fitted = percentiles(values(train, columns).withColumn("value", log1p_clipped(F.col("value"))), ["feature"], "value", [0.25, 0.5, 0.75], few=True)
+    held = train.select(*columns).persist(StorageLevel.DISK_ONLY)  # read three times
+    fitted = percentiles(values(held, columns).withColumn("value", log1p_clipped(F.col("value"))), ["feature"], "value", [0.25, 0.5, 0.75], few=True)
+    held.unpersist()
     width = F.col("q")[2] - F.col("q")[0]
     return fitted.select("feature", F.col("q")[1].alias("center"), F.when(width == 0, 1.0).otherwise(width).alias("scale"))
 
