@@ -12,13 +12,18 @@ def occurrence_join(left: DataFrame, right: DataFrame, keys: list[str], left_ord
     return number(left, left_order).join(number(right, right_order), [*keys, "occurrence"])
 
 
-def nearest_interval(points: DataFrame, steps: DataFrame, key: str, time: str, start: str, end: str, slack: int, point_id: str) -> DataFrame:
-    """Each point with the step of its key whose interval, widened by slack, holds it and ends nearest.
+def nearest_interval(points: DataFrame, steps: DataFrame, key: str, time: str, start: str, end: str, slack: int, point_id: str, width: int = 86_400) -> DataFrame:
+    """Each point with the step of its key whose interval, widened by slack, holds it and ends nearest; ties go to the earlier step.
 
-    An equi join on the key with a range condition; ties go to the earlier step.
+    A band join: time is cut into bins of width, a step stands in each bin that it reaches, and key and bin are joined,
+    so a key with many points is as many tasks as it has bins, and points meet the steps of their own bin only.
     """
+    at = lambda t: F.floor(t / width)
     s = steps.select(F.col(key).alias("_key"), F.col(start).alias("step_start"), F.col(end).alias("step_end"))
-    joined = points.join(s, (points[key] == s._key) & points[time].between(s.step_start - slack, s.step_end + slack)).drop("_key")
+    low, high = F.col("step_start") - slack, F.col("step_end") + slack
+    s = s.filter(low <= high).withColumn("_bin", F.explode(F.sequence(at(low), at(high))))
+    p = points.withColumn("_at", at(F.col(time)))
+    joined = p.join(s, (p[key] == s._key) & (p._at == s._bin) & p[time].between(s.step_start - slack, s.step_end + slack)).drop("_key", "_bin", "_at")
     place = F.row_number().over(Window.partitionBy(point_id).orderBy(F.abs(F.col(time) - F.col("step_end")), "step_start"))
     return joined.withColumn("_k", place).filter("_k = 1").drop("_k")
 
