@@ -88,14 +88,33 @@ def best_thresholds(predictions: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def left_out_thresholds(predictions: DataFrame, dims: list[str], grid: list[float], key: str = "job_id") -> DataFrame:
-    """key, dim, threshold best on all other rows: totals less the row's own part, never all pairs of rows."""
-    rows = long_form(predictions, dims, [key])
-    hit = lambda t: F.col("prob") >= t
-    totals = rows.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).groupBy("dim", "t").agg(F.sum((hit(F.col("t")) & (F.col("gt") == 1)).cast("int")).alias("tp"), F.sum(hit(F.col("t")).cast("int")).alias("p"), F.sum("gt").alias("g"))
-    table = totals.groupBy("dim").agg(F.collect_list(F.struct("t", "tp", "p", "g")).alias("grid"))
-    f1 = lambda x: ratio(2 * (x["tp"] - F.when(hit(x["t"]) & (F.col("gt") == 1), 1).otherwise(0)), x["p"] - hit(x["t"]).cast("int") + x["g"] - F.col("gt"))
+    """key, dim, threshold best on all other rows: totals less the row's own part, never all pairs of rows.
+
+    A row counts by its step, the number of thresholds that its probability reaches, and its label: totals are sums over the
+    counts of steps, and the best threshold is found once for each step and label.
+    """
+    grid = sorted(set(grid))
+    rows = long_form(predictions, dims, [key]).withColumn("step", _steps(F.col("prob"), grid)).select(key, "dim", "gt", "step")
+    counts = rows.groupBy("dim", "gt", "step").agg(F.count("*").alias("n"))  # two labels and as many steps as thresholds
+    t = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("t")) for i, x in enumerate(grid, 1)])).alias("x")
+    hit = lambda i: F.col("step") >= i
+    each = counts.select("*", t).select("*", F.col("x.i").alias("i"), F.col("x.t").alias("t"))
+    totals = each.groupBy("dim", "i", "t").agg(F.sum(F.when(hit(F.col("i")) & (F.col("gt") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(hit(F.col("i")), F.col("n")).otherwise(0)).alias("p"), F.sum(F.col("gt") * F.col("n")).alias("g"))
+    table = totals.groupBy("dim").agg(F.collect_list(F.struct("i", "t", "tp", "p", "g")).alias("grid"))
+    f1 = lambda x: ratio(2 * (x["tp"] - F.when(hit(x["i"]) & (F.col("gt") == 1), 1).otherwise(0)), x["p"] - hit(x["i"]).cast("int") + x["g"] - F.col("gt"))
     best = F.array_max(F.transform("grid", lambda x: F.struct(f1(x).alias("f1"), (-x["t"]).alias("t"))))
-    return rows.join(F.broadcast(table), "dim").select(key, "dim", (-best["t"]).alias("threshold"))
+    found = counts.join(F.broadcast(table), "dim").select(F.col("dim").alias("_dim"), F.col("gt").alias("_gt"), F.col("step").alias("_step"), (-best["t"]).alias("threshold"))
+    same = (F.col("dim") == F.col("_dim")) & F.col("gt").eqNullSafe(F.col("_gt")) & F.col("step").eqNullSafe(F.col("_step"))
+    return rows.join(F.broadcast(found), same).select(key, "dim", "threshold")
+
+
+def _steps(value, grid: list[float], first: int = 0):
+    """How many of grid's ascending thresholds value reaches, null for null, by halving."""
+    if not grid:
+        return F.lit(first)
+    half = len(grid) // 2
+    above, below = _steps(value, grid[half + 1 :], first + half + 1), _steps(value, grid[:half], first)
+    return F.when(value.isNull(), None).when(value >= grid[half], above).otherwise(below)
 
 
 def ranking(predictions: DataFrame, dims: list[str]) -> DataFrame:
