@@ -98,3 +98,21 @@ def test_planted_flips_are_found_and_ties_are_not(spark):
     assert sum(r.estimated for r in noise.joint(got).filter("dimension = 'd'").collect()) == pytest.approx(1)
     tie = noise.judged(spark.createDataFrame([(1, "d", 1, 0.5), (2, "d", 0, 0.5)], "id bigint, dimension string, label int, prob double")).collect()
     assert all(r.confident == r.label and not r.noisy for r in tie)
+
+
+def test_tables_give_what_direct_sums_give_and_only_detected_is_computed(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    leaves = [attribution.Leaf(float(v), (0, 2), (-np.inf, 0.2), (0.6, np.inf), (0.4, 0.7)) for v in rng.normal(size=3)] + [attribution.Leaf(1.5, (2,), (0.5,), (0.9,), (0.3,))]
+    x = rng.random((50, 4))
+    x[0, 0] = x[1, 2] = np.nan
+    tabled = attribution.contributions(x, leaves)
+    seen, direct = [], attribution._of_leaf
+    monkeypatch.setattr(attribution, "TABLED", 0)
+    monkeypatch.setattr(attribution, "_of_leaf", lambda leaf, passed: seen.append(len(passed)) or direct(leaf, passed))
+    assert np.array_equal(tabled[0], attribution.contributions(x, leaves)[0]) and seen == [50] * 4
+    # Features 1 and 3 are asked for by no tree; the first of them still fills a place of the top, and no dimension but the detected ones appears.
+    df = spark.createDataFrame([(1, ["p"], 0.1, 5.0, 0.8, 7.0), (2, [], 0.1, 5.0, 0.8, 7.0), (3, ["q", "p"], 0.9, 6.0, 0.1, 7.0), (4, None, 0.1, 5.0, 0.8, 7.0)], "id bigint, on array<string>, a double, b double, c double, d double")
+    out = attribution.explain(df, "id", {"p": leaves, "q": leaves[:1]}, ["a", "b", "c", "d"], 3, "on")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.dimension): [t.feature for t in r.top] for r in out.collect()}
+    assert set(got) == {(1, "p"), (3, "q"), (3, "p")} and all(set(f) == {"a", "b", "c"} for f in got.values())
