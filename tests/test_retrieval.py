@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,23 @@ def test_text_edges(spark):
     assert {r.k: r.dims for r in diagnoses.paragraph_dims(df, "k", "t").collect()} == {1: [], 2: [], 3: ["metadata_intensity"], 4: []}
     assert diagnoses.telling(["small io", "io", "x"]) == ["io", "x"]
     assert df.select(diagnoses.report_dims(F.col("t")).alias("d")).first().d == ["metadata_intensity"]
+
+
+def test_few_leaves_are_looked_at_and_ties_go_to_the_least_ordinal(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    signatures = np.round(np.where(rng.random((n, 3)) < 0.1, 0, rng.random((n, 3))), 2)
+    table = pa.table({"entry_id": [f"e{i}" for i in range(n)], "ordinal": rng.permutation(n), "pattern": rng.integers(1, 4, n), "signature": signatures.tolist()})
+    kb = retrieval._loaded(type("Rows", (), {"toArrow": lambda self: table})())
+    assert kb.stop[-1] == n and (kb.stop - kb.start).max() <= retrieval.LEAF
+    seen, plain = [], retrieval.similarities
+    monkeypatch.setattr(retrieval, "similarities", lambda a, b: seen.append(len(a) * len(b)) or plain(a, b))
+    asked = signatures[rng.integers(0, n, 40)]
+    got = retrieval._best(asked, 1, kb, 3)
+    shares = table["pattern"].to_numpy() & 1 == 1
+    ordinals = table["ordinal"].to_numpy()
+    for x, mine in zip(asked, got, strict=True):
+        every = plain(x[None], signatures)[0]
+        best = [i for i in np.lexsort((ordinals, -every)) if shares[i]][:3]
+        assert [(e, s) for e, _, s, _ in mine] == [(f"e{i}", float(every[i])) for i in best]
+    assert sum(seen) < len(asked) * n / 4
