@@ -46,3 +46,21 @@ def test_numbers_and_ids(spark):
     assert [list(r[0]) for r in df.select(claims.speedups(claims.F.col("t"))).collect()] == [[50.0], [2.5], [3.0], [], []]
     df = spark.createDataFrame([("a, b,,",), (None,), ("",)], "t string")
     assert [list(r[0]) for r in df.select(claims.cited_ids(claims.F.col("t"))).collect()] == [["a", "b"], [], []]
+
+
+def test_uncited_recommendations_are_spread_and_texts_stay_where_they_are(spark):
+    recs = spark.range(2000).selectExpr("id AS rec_id", "'m' AS model", "'healthy' AS bottleneck_dimension", "CASE WHEN id = 7 THEN 'nope, k1' END AS kb_citation", "'sort' AS explanation", "'ab' AS code_before", "'zz' AS code_after", "'' AS api_change", "'2x' AS expected_speedup")
+    kb = spark.createDataFrame([("k1", ["healthy"], [("healthy", None, "sort", "a b", "zz")], None, None), ("k2", None, None, None, None)], "entry_id string, bottleneck_labels array<string>, fixes array<struct<dimension:string,cause:string,fix:string,code_before:string,code_after:string>>, io_functions map<string,string>, key_params string")
+    out = claims.verify(recs, kb)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_spread" in plan and plan.count("Join") <= 6
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = claims.verify(recs, kb).groupBy(claims.F.spark_partition_id()).count().collect()
+        assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    r = out.filter("rec_id = 7").first()
+    assert (r.n_cited, r.n_valid_cited, r.primary, r.code_before_similarity, r.code_after_similarity, r.fix_type_score) == (2, 1, "k1", 0.8, 1.0, 1.0) and out.filter("citation_valid").count() == 1
