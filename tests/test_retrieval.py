@@ -76,3 +76,18 @@ def test_few_leaves_are_looked_at_and_ties_go_to_the_least_ordinal(monkeypatch):
         best = [i for i in np.lexsort((ordinals, -every)) if shares[i]][:3]
         assert [(e, s) for e, _, s, _ in mine] == [(f"e{i}", float(every[i])) for i in best]
     assert sum(seen) < len(asked) * n / 4
+
+
+def test_export_computes_entries_once_and_packs_them(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kb = spark.createDataFrame([("e1", ["m", "n"], {"x": 0.1}), ("e2", ["m"], {})], "entry_id string, dims array<string>, signature map<string,double>").mapInArrow(counted, "entry_id string, dims array<string>, signature map<string,double>")
+    retrieval.export(kb, str(tmp_path / "kb"))
+    assert seen.value == 2 and not list((tmp_path / "kb").rglob("*.json")) and list((tmp_path / "kb").rglob("*.json.gz"))
+    back = spark.read.schema("entry_id string, dims array<string>, signature map<string,double>, dim string").json(str(tmp_path / "kb" / "by_dim")).collect()
+    assert sorted((r.entry_id, r.dim, r.signature) for r in back) == [("e1", "m", {"x": 0.1}), ("e1", "n", {"x": 0.1}), ("e2", "m", {})]
