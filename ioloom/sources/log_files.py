@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ERROR_CHARS = 200
 #: Lines in an output batch, at most but for those of one file's rest.
 OUT_LINES = 50_000
+#: Tasks of a pass at most, for each core.
+TASKS = 8
 _SCHEMA = "file string, line_no bigint, value string, error string"
 
 
@@ -91,7 +93,8 @@ def scan(spark: SparkSession, paths: list[str], out: str, pattern: str | None =
     else:
         read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         read = read.option("pathGlobFilter", pattern) if pattern and cap is None else read
-        rows = read.load(paths).select("path", "content").mapInArrow(lambda batches: _scan(batches, must_match), _SCHEMA)
-    rows.withColumn("timestamp", F.current_timestamp()).withColumn("good", F.col("error").isNull()).write.partitionBy("good").parquet(out)
+        # Spark packs few small files into a task; more of them go to one, or there would be a task and two files for every 32 logs.
+        rows = read.load(paths).select("path", "content").coalesce(TASKS * spark.sparkContext.defaultParallelism).mapInArrow(lambda batches: _scan(batches, must_match), _SCHEMA)
+    rows.withColumn("timestamp", F.current_timestamp()).withColumn("good", F.col("error").isNull()).write.partitionBy("good").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(out)
     read = spark.read.schema(f"{_SCHEMA}, timestamp timestamp, good boolean").parquet(out)
     return read.filter("good").select("file", "line_no", "value"), read.filter("not good").select(F.col("file").alias("file_path"), "error", "timestamp")

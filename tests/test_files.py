@@ -61,3 +61,17 @@ def test_code_agreement_looks_at_compared_jobs_only(spark):
     pairs = lambda *rows: spark.createDataFrame(rows, "jobid bigint, code string")
     got = rules.code_agreement(pairs((1, "P05"), (2, "P05"), (3, "P05")), pairs((1, "P05"), (4, "P06")), spark.createDataFrame([(1,), (5,)], "jobid bigint")).collect()
     assert [tuple(r) for r in got] == [("P05", 1, 0, 0, 1.0)]
+
+
+def test_a_log_is_one_row_until_it_is_written_and_a_pass_has_few_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ioloom.plans import file_queries
+
+    logs = spark.range(100).withColumnRenamed("id", "k")
+    path = file_queries._written(spark, logs, F.array(F.lit("a"), F.lit(None).cast("string"), F.col("k").cast("string")))
+    files = [p for p in __import__("pathlib").Path(path).rglob("*.txt")]
+    assert len(files) == 100 and {p.read_text() for p in files} == {f"a\n\n{k}\n" for k in range(100)}
+    before = spark.sparkContext.defaultParallelism
+    good, _ = log_files.scan(spark, [path], str(tmp_path / "scan"))
+    assert good.count() == 300 and len(list((tmp_path / "scan").rglob("*.parquet"))) <= log_files.TASKS * before
