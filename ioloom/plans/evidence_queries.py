@@ -24,7 +24,9 @@ def _lines(spark, sf_dir):
         F.concat(F.lit("# run time: "), F.col("runtime")), F.lit("# LUSTRE module: ver=1"), F.lit("POSIX module: x ver=4"), F.lit("POSIX module data"), F.lit("NCMPI module: ver=2"), F.when(F.col("jobid") % 2 == 0, "MPI-IO module data").otherwise("MPI-IO modules"), F.when(F.col("uid") % 3 == 0, "# mount entry:\t/scratch\tlustre").otherwise("# mount entry:\t/home\tnfs"),
         F.concat(F.lit("total_POSIX_READS: "), F.col("uid")), F.concat(F.lit("total_POSIX_F_READ_TIME: 1.5e"), F.col("nprocs") % 3), F.concat(F.lit("total_POSIX_READS: "), F.col("nprocs")), F.concat(F.lit("Max Write: "), F.col("uid"), F.lit(".5 MiB/s")), F.concat(F.lit("done, exit code: "), F.col("uid") % 2),
     )
-    return jobs.select(F.concat(F.lit("log"), F.col("jobid")).alias("file"), F.posexplode(text).alias("line_no", "value"))
+    # Dealt by log before it becomes lines, as its lines lie together: what groups by file then holds a part of the logs in each task.
+    dealt = jobs.withColumn("file", F.concat(F.lit("log"), F.col("jobid"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")  # a number, or few large tasks would be made of them
+    return dealt.select("file", F.posexplode(text).alias("line_no", "value"))
 
 
 @register("A1_headers", f"WITH {sql.JOBS} SELECT 'log' || jobid AS file, jobid, uid, start_time, CAST(0 AS BIGINT) AS end_time, CAST('999' || uid AS BIGINT) AS nprocs, {q6('runtime')} AS run_time, '3.41' AS log_version, 'Mon 10:' || uid AS start_time_str FROM jobs")

@@ -75,3 +75,10 @@ def test_a_log_is_one_row_until_it_is_written_and_a_pass_has_few_tasks(spark, tm
     before = spark.sparkContext.defaultParallelism
     good, _ = log_files.scan(spark, [path], str(tmp_path / "scan"))
     assert good.count() == 300 and len(list((tmp_path / "scan").rglob("*.parquet"))) <= log_files.TASKS * before
+
+
+def test_lines_are_dealt_by_log_so_that_no_task_groups_a_whole_input_split(spark):
+    from ioloom.plans import evidence_queries
+
+    lines = evidence_queries._lines(spark, "/root/testdata/sf0.001")
+    assert lines.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
