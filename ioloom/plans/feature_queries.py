@@ -9,7 +9,7 @@ from ioloom.operators import characterize, prepare, relate, stats
 from ioloom.plans import sql
 from ioloom.plans.core import r6, register, rounded
 from ioloom.plans.sql import r6 as q6
-from ioloom.plans.stages import engineered, labelled
+from ioloom.plans.stages import engineered, engineered_whole, labelled
 from ioloom.sources import surrogate
 
 COLS = ["nprocs", "runtime_seconds", "POSIX_BYTES_READ", "POSIX_READS", "POSIX_F_META_TIME", "read_ratio", "avg_read_size", "metadata_time_ratio", "has_hdf5"]
@@ -114,7 +114,7 @@ def g13(spark, sf_dir):
 d AS (SELECT l.feature, value, mid, mean, sd, abs(value - mid) AS dev FROM long l JOIN m ON l.feature = m.feature), k AS (SELECT feature, quantile_cont(dev, 0.5) AS mad FROM d GROUP BY feature)
 SELECT d.feature, {q6('avg(CASE WHEN mad > 1e-10 THEN CAST(dev / (1.4826 * mad) > 3 AS INT) WHEN sd > 1e-10 THEN CAST(abs(value - mean) / sd > 3 AS INT) ELSE 0 END)')} AS outlier_ratio FROM d JOIN k ON d.feature = k.feature GROUP BY d.feature""")
 def g14(spark, sf_dir):
-    df = engineered(spark, sf_dir)
+    df = engineered_whole(spark, sf_dir)
     return stats.mad_outliers(df, stats.feature_columns(df)).select("feature", *rounded("outlier_ratio"))
 
 
