@@ -65,13 +65,14 @@ def test_percentiles_by_column_are_those_of_the_whole_column(spark, monkeypatch,
     assert {df.columns[c]: list(map(repr, q)) for c, q in got.items()} == {f: list(map(repr, q)) for f, q in want.items()}
 
 
-def test_outliers_read_no_unpivoted_values(spark, monkeypatch):
+def test_outliers_and_ranges_read_no_unpivoted_values(spark, monkeypatch):
     df = table(spark)
     q = lambda rows, s: {r.feature: r.q[0] for r in order.percentiles(rows, ["feature"], "value", [s]).collect()}
     rows = stats.values(df, df.columns)
     mid = q(rows, 0.5)
     away = rows.withColumn("mid", F.create_map(*[F.lit(x) for p in mid.items() for x in p])[F.col("feature")]).select("feature", F.abs(F.col("value") - F.col("mid")).alias("value"))
     mad = q(away, 0.5)
+    ends = {s: q(rows, s) for s in (0.05, 0.25, 0.75, 0.95)}
     spread = {r.feature: (r.m, r.s) for r in rows.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).collect()}
     by_column = {c: [r[c] for r in df.select(c).collect()] for c in df.columns}
     monkeypatch.setattr(stats, "values", None)  # one row a cell: 186 times the table
@@ -86,5 +87,10 @@ def test_outliers_read_no_unpivoted_values(spark, monkeypatch):
         else:
             want = [False]
         assert far[c] == pytest.approx(sum(want) / len(want), abs=1e-12), c
+    found = {r.feature: (r.in_range, r.iqr_ok) for r in stats.range_check(df, df.columns).collect()}
+    assert set(found) == set(df.columns) and found["none"] == (None, None)
+    for c in mad:
+        a, b, x, y = (ends[s][c] for s in (0.05, 0.25, 0.75, 0.95))
+        assert found[c] == (a >= -10 and y <= 10, 0.1 <= x - b <= 10), c
     empty = df.limit(0)
-    assert stats.mad_outliers(empty, df.columns).count() == 0
+    assert stats.mad_outliers(empty, df.columns).count() == 0 and stats.range_check(empty, df.columns).count() == 0
