@@ -36,6 +36,33 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch, size):
         assert got[job] == [(e, -m, -x) for m, x, _, e in ranked]
 
 
+@pytest.mark.parametrize("near", [1, 8])
+def test_slices_give_what_all_pairs_give_and_meet_few_leaves(spark, monkeypatch, near):
+    monkeypatch.setattr(retrieval, "LEAF", 8)
+    monkeypatch.setattr(retrieval, "GROUP", 4)
+    monkeypatch.setattr(retrieval, "NEAR", near)
+    rng = random.Random(near)
+    dims = lambda: [d for d in NAMES if rng.random() < 0.4]
+    sig = lambda: {k: rng.choice([0.0, 1.0, -2.0, *[round(rng.uniform(0, 3), 2) for _ in range(9)]]) for k in KEYS}
+    kb = [(f"e{i}", i, dims(), sig()) for i in range(3000)]
+    kb += [(f"e{3000 + i}", 3000 + i, ["a", "b", "c"], kb[i % 5][3]) for i in range(40)]  # equal ones
+    jobs = [(i, *kb[7 * i][2:]) for i in range(60)] + [(60, [], {}), (61, ["a", "b", "c"], {}), (62, ["a"], sig())]
+    met, plain = spark.sparkContext.accumulator(0), retrieval._asking
+
+    def counted(batches, *args):
+        for b in plain(batches, *args):
+            met.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(retrieval, "_asking", counted)
+    found = retrieval.retrieve(spark.createDataFrame(jobs, "job_id bigint, dims array<string>, signature map<string,double>"), spark.createDataFrame(kb, "entry_id string, ordinal int, dims array<string>, signature map<string,double>"), NAMES, KEYS, 3, 400)
+    got = {r.job_id: [(e.entry_id, e.matched, e.similarity) for e in r.evidence] for r in found.collect()}
+    for job, ds, s in jobs:
+        ranked = sorted((-len(set(ds) & set(es)), -similar(s, t), o, e) for e, o, es, t in kb if set(ds) & set(es))[:3]
+        assert got[job] == [(e, -m, -x) for m, x, _, e in ranked]
+    assert met.value < 63 * 3000 / 8 / 2  # of some 380 leaves or more a question
+
+
 def test_entries_and_diagnoses(spark, tmp_path):
     rows = spark.createDataFrame([("ior", "s", 0, 1, 0, 1.00004, None), ("ior", "s", 1, 0, 0, float("nan"), 2.0)], "benchmark string, scenario string, idx bigint, m int, healthy int, x double, y double")
     fixes = spark.createDataFrame([("m", "cache it")], "dimension string, fix string")
